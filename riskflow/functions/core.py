@@ -16,9 +16,15 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# The characters Python's ``str.isspace`` accepts, as one regex class that
+# Java regex and RE2 read the same way (Java's own ``\s`` is ASCII-only).
+WS = (r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}"
+      r"\x{202f}\x{205f}\x{3000}]")
+
+
 def strip(c: Column | str) -> Column:
-    """Unicode-aware strip of leading/trailing whitespace (Python ``str.strip``)."""
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
+    """Python ``str.strip()``: remove leading/trailing whitespace."""
+    return F.regexp_replace(col(c), f"^{WS}+|{WS}+$", "")
 
 
 def map_literal(mapping: Mapping) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab
-from ..functions.core import empty_str_array, lookup, non_null_array
+from ..functions.core import empty_str_array, lookup, non_null_array, strip
 
 
 def _present(c: Column) -> Column:
@@ -41,11 +41,7 @@ def _perils_train(incident: Column) -> Column:
 
 def _vehicle(with_year: bool) -> Column:
     make, model, year = F.col("auto_make"), F.col("auto_model"), F.col("auto_year")
-    base = F.regexp_replace(
-        F.concat_ws(" ", F.coalesce(make, F.lit("")), F.coalesce(model, F.lit(""))),
-        r"(?U)^\s+|\s+$",
-        "",
-    )
+    base = strip(F.concat_ws(" ", F.coalesce(make, F.lit("")), F.coalesce(model, F.lit(""))))
     if with_year:
         base = F.when(
             year.isNotNull() & (year != ""), F.concat(base, F.lit(" ("), year, F.lit(")"))

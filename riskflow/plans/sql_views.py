@@ -116,8 +116,11 @@ def with_ctes(*ctes: str) -> str:
 # Column formulas (DuckDB text)
 # ---------------------------------------------------------------------------
 
+from ..functions.core import WS  # noqa: E402
+
+
 def strip(x: str) -> str:
-    return "regexp_replace(" + x + r", '^\s+|\s+$', '', 'g')"
+    return "regexp_replace(" + x + ", '^" + WS + "+|" + WS + "+$', '', 'g')"
 
 
 def parse_money(x: str) -> str:
@@ -130,9 +133,9 @@ def parse_money(x: str) -> str:
     return (
         "(CASE WHEN contains(" + s + ", 'billion') THEN " + num("replace(" + s + ", 'billion', '')") + " * 1000.0::DOUBLE"
         + " WHEN contains(" + s + ", 'million') THEN " + num("replace(" + s + ", 'million', '')") + " * 1.0::DOUBLE"
-        + " WHEN regexp_matches(" + s + r", '\d\s*m\b') THEN "
+        + " WHEN regexp_matches(" + s + r", '\d" + WS + r"*m\b') THEN "
         + num("regexp_replace(" + s + r", 'm\b', '', 'g')") + " * 1.0::DOUBLE"
-        + " WHEN regexp_matches(" + s + r", '\d\s*k\b') THEN "
+        + " WHEN regexp_matches(" + s + r", '\d" + WS + r"*k\b') THEN "
         + num("regexp_replace(" + s + r", 'k\b', '', 'g')") + " * 1e-3"
         + " ELSE " + num(s) + " * 1e-6 END)"
     )
@@ -272,3 +275,57 @@ def long_from_lists(cte: str, labels: list[tuple[str, str]], key: str = "case_id
             f"CAST(unnest(range(len({colname}))) AS BIGINT) AS value_pos, unnest({colname}) AS value FROM {cte}"
         )
     return "\nUNION ALL\n".join(parts)
+
+NARRATIVES = """narratives AS (
+  SELECT o_orderkey AS submission_id,
+    CASE WHEN o_orderkey % 19 = 0 THEN NULL WHEN o_orderkey % 17 = 0 THEN ''
+         WHEN o_orderkey % 23 = 0 THEN '   ' || chr(10) || '  '
+    ELSE 'Preliminary review of submission ' || CAST(o_orderkey AS VARCHAR) || '.' || chr(10) || chr(10)
+      || '## Risk Summary' || chr(10)
+      || CASE WHEN o_orderkey % 7 = 0 THEN 'The submission is assessed'
+              ELSE 'The submission is assessed as ' || tier || ' risk' END
+      || ' with a claim probability of ' || printf('%.1f', p * 100.0) || '%.' || chr(10) || chr(10)
+      || '**Financial Exposure:**' || chr(10)
+      || 'Expected claim cost is $' || format('{:,.2f}', CAST(CASE WHEN o_orderkey % 3 = 0 THEN (cents * 105) // 100 ELSE cents END AS DOUBLE) / 100.0)
+      || ' based on similar cases.' || chr(10)
+      || '## Key Factors' || chr(10)
+      || 'Coverage breadth accounts for 10% of the score'
+      || CASE WHEN o_orderkey % 2 = 0 THEN ' and peril diversity for 72.7% overall' ELSE '' END
+      || '.' || chr(10) END AS narrative
+  FROM (SELECT o_orderkey, p,
+          CASE WHEN p < 0.25 THEN 'LOW' WHEN p < 0.5 THEN 'MODERATE' WHEN p < 0.75 THEN 'HIGH' ELSE 'CRITICAL' END AS tier,
+          CAST(round(o_totalprice * 100) AS BIGINT) * greatest((o_orderkey % 11) - 1, 0) AS cents
+        FROM (SELECT o_orderkey, o_totalprice, CAST((o_orderkey * 37 + o_custkey) % 100 AS DOUBLE) / 100.0 AS p FROM orders)))"""
+
+
+def match_starts(text: str, pattern: str) -> str:
+    """Twin of ``functions.text.match_starts`` (0-based offsets of all matches)."""
+    m = f"regexp_extract_all({text}, {lit(pattern)}, 0)"
+    p = f"string_split_regex({text}, {lit(pattern)})"
+    return (f"list_transform(range(len({m})), lambda i: CAST("
+            f"coalesce(list_sum(list_transform(({p})[1:i+1], lambda x: length(x))), 0) + "
+            f"coalesce(list_sum(list_transform(({m})[1:i], lambda x: length(x))), 0) AS BIGINT))")
+
+
+def clean_text(x: str) -> str:
+    y = f"replace({x}, chr(0), '')"
+    y = f"regexp_replace({y}, '[ \\t]+', ' ', 'g')"
+    y = f"regexp_replace({y}, '\\n{{3,}}', chr(10) || chr(10), 'g')"
+    return strip(y)
+
+
+def html_to_text(x: str) -> str:
+    y = f"regexp_replace({x}, '<[^>]+>', ' ', 'g')"
+    for pat, rep in [
+        ("&nbsp;", "' '"), ("&amp;", "'&'"), ("&ldquo;|&rdquo;|&#8220;|&#8221;", "'\"'"),
+        ("&lsquo;|&rsquo;|&#8216;|&#8217;", "''''"), ("&mdash;|&#8212;", "' -- '"), ("&[a-z]+;", "' '"),
+        ("&#\\d+;", "' '"), ("[ \\t]+", "' '"),
+    ]:
+        y = f"regexp_replace({y}, {lit(pat)}, {rep}, 'g')"
+    y = f"regexp_replace({y}, {lit(chr(10) + WS + '*' + chr(10) + '+')}, chr(10) || chr(10), 'g')"
+    return strip(y)
+
+
+def sentences(x: str) -> str:
+    """Look-behind-free twin of the sentence split: mark, then split."""
+    return f"string_split(regexp_replace({x}, {lit('([.!?])' + WS + '+')}, '\\1' || chr(1), 'g'), chr(1))"

@@ -197,3 +197,41 @@ def case_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
         .where(F.col("vec_id") >= 20)
         .select(F.col("vec_id").alias("case_id"), F.col("embedding").alias("vector"), "label")
     )
+
+
+def narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-in generated narratives per scored submission: markdown with
+    ``##`` and ``**x:**`` headings, the tier (left out for every 7th), the
+    probability as a percent, the amount (5 % off for every 3rd), fixed
+    percents 10 and 72.7; every 17th empty, every 19th null, every 23rd blank."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    k = F.col("o_orderkey")
+    p = ((k * 37 + F.col("o_custkey")) % 100).cast("double") / 100.0
+    tier = (
+        F.when(p < 0.25, F.lit("LOW")).when(p < 0.5, F.lit("MODERATE"))
+        .when(p < 0.75, F.lit("HIGH")).otherwise(F.lit("CRITICAL"))
+    )
+    cents = F.round(F.col("o_totalprice") * 100).cast("bigint") * F.greatest((k % 11) - 1, F.lit(0))
+    cited_cents = F.when(k % 3 == 0, F.floor((cents * 105).cast("double") / 100.0)).otherwise(cents)
+    cited = cited_cents.cast("double") / 100.0
+    text = F.concat(
+        F.lit("Preliminary review of submission "), k.cast("string"), F.lit(".\n\n"),
+        F.lit("## Risk Summary\n"),
+        F.when(k % 7 == 0, F.lit("The submission is assessed")).otherwise(
+            F.concat(F.lit("The submission is assessed as "), tier, F.lit(" risk"))
+        ),
+        F.lit(" with a claim probability of "), F.format_string("%.1f", p * 100.0), F.lit("%.\n\n"),
+        F.lit("**Financial Exposure:**\n"),
+        F.lit("Expected claim cost is $"), F.format_number(cited, 2), F.lit(" based on similar cases.\n"),
+        F.lit("## Key Factors\n"),
+        F.lit("Coverage breadth accounts for 10% of the score"),
+        F.when(k % 2 == 0, F.lit(" and peril diversity for 72.7% overall")).otherwise(F.lit("")),
+        F.lit(".\n"),
+    )
+    narrative = (
+        F.when(k % 19 == 0, F.lit(None).cast("string"))
+        .when(k % 17 == 0, F.lit(""))
+        .when(k % 23 == 0, F.lit("   \n  "))
+        .otherwise(text)
+    )
+    return o.select(k.alias("submission_id"), narrative.alias("narrative"))
