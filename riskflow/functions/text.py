@@ -41,23 +41,26 @@ def html_to_text(c: Column | str) -> Column:
     return strip(x)
 
 
-def match_starts(c: Column | str, pattern: str) -> Column:
+def match_starts(c: Column | str, pattern: str, matches: Column | None = None) -> Column:
     """0-based start offsets of all non-overlapping matches of ``pattern``.
 
     ``split`` and ``regexp_extract_all`` walk the same match sequence, so the
-    i-th match starts after pieces 0..i and matches 0..i-1.  ``pattern`` must
-    not match the empty string.
+    i-th match starts after pieces 0..i and matches 0..i-1: one running sum
+    over (piece, match) lengths, linear in the number of matches.  ``pattern``
+    must not match the empty string.
     """
     text = col(c)
     pieces = F.split(text, pattern, -1)
-    matches = F.regexp_extract_all(text, F.lit(pattern), 0)
+    if matches is None:
+        matches = F.regexp_extract_all(text, F.lit(pattern), 0)
     plen = F.transform(pieces, lambda p: F.length(p))
     mlen = F.transform(matches, lambda m: F.length(m))
-    return F.transform(
-        matches,
-        lambda m, i: F.aggregate(F.slice(plen, 1, i + 1), F.lit(0), lambda a, v: a + v)
-        + F.aggregate(F.slice(mlen, 1, i), F.lit(0), lambda a, v: a + v),
+    n = F.size(mlen)
+    seg = F.zip_with(F.slice(plen, 1, n), mlen, lambda p, m: p + m)
+    before = F.aggregate(
+        seg, F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x)
     )
+    return F.zip_with(F.slice(before, 1, n), F.slice(plen, 1, n), lambda b, p: b + p)
 
 
 def extract_section(

@@ -30,5 +30,6 @@ def register(name: str, oracle: str | None = None):
 def load_all() -> None:
     from . import (  # noqa: F401
         q_claims,
+        q_entities,
         q_text,
     )
