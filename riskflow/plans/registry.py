@@ -32,4 +32,5 @@ def load_all() -> None:
         q_claims,
         q_entities,
         q_text,
+        q_vectors,
     )
