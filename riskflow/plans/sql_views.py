@@ -329,3 +329,48 @@ def html_to_text(x: str) -> str:
 def sentences(x: str) -> str:
     """Look-behind-free twin of the sentence split: mark, then split."""
     return f"string_split(regexp_replace({x}, {lit('([.!?])' + WS + '+')}, '\\1' || chr(1), 'g'), chr(1))"
+
+
+CLAIM_CASES = """claim_cases AS (
+  SELECT case_id, coalesce(policy_number, CAST(case_id AS VARCHAR)) AS policy_id,
+    concat_ws(', ',
+      CASE WHEN coalesce(incident_type, '') <> '' THEN lower(incident_type) END,
+      CASE WHEN coalesce(auto_make, '') <> '' THEN auto_make || ' ' || coalesce(auto_model, '') END,
+      'in ' || coalesce(incident_state, '?'),
+      'severity: ' || lower(coalesce(incident_severity, ''))) AS summary,
+    'claim $' || format('{:,.0f}', coalesce(TRY_CAST(NULLIF(total_claim_amount, '') AS DOUBLE), 0.0))
+      || CASE WHEN fraud_reported = 'Y' THEN ' (fraud reported)' ELSE ' (no fraud)' END AS outcome,
+    incident_type
+  FROM claims)"""
+
+SCORE_OUT = """score_out AS (
+  SELECT submission_id, incident_severity,
+    CASE WHEN raw_probability < 0.25 THEN 'LOW' WHEN raw_probability < 0.5 THEN 'MODERATE'
+         WHEN raw_probability < 0.75 THEN 'HIGH' ELSE 'CRITICAL' END AS risk_tier,
+    round(raw_probability, 4) AS risk_probability,
+    round(greatest(raw_amount, 0.0), 2) AS predicted_claim_amount,
+    round(abs(raw_probability - 0.5) * 2.0, 4) AS confidence_score
+  FROM scored)"""
+
+TOP_FACTORS = f"""topf AS (
+  SELECT *, row_number() OVER (PARTITION BY submission_id ORDER BY abs(shap_value) DESC, feature_index) AS r
+  FROM factors),
+top_factors AS (
+  SELECT submission_id, feature_index,
+    CAST(row_number() OVER (PARTITION BY submission_id ORDER BY r) - 1 AS INTEGER) AS factor_pos,
+    {case_map(vocab.FEATURE_DISPLAY_NAMES, 'feature', 'feature')} AS name,
+    round(shap_value, 6) AS shap_value,
+    CASE WHEN shap_value > 0 THEN 'increases_risk' ELSE 'decreases_risk' END AS direction
+  FROM topf WHERE r <= 5 AND abs(shap_value) >= 1e-6)"""
+
+AN_FACTORS = f"""an_factors AS (
+  SELECT submission_id, factor_pos, feature_index, shap_value, direction,
+    CASE WHEN (submission_id + feature_index) % 29 = 0 THEN {lit(views.SHORT_FACTOR_NAME)}
+         WHEN (submission_id + feature_index) % 31 = 0 THEN {lit(views.BAD_FACTOR_NAME)} ELSE name END AS name
+  FROM top_factors)"""
+
+NEIGHBOURS = """neighbours AS (
+  SELECT o.submission_id, o.j, c.policy_id,
+    CAST((o.submission_id * 7 + o.j * 13) % 50 + 50 AS DOUBLE) / 100.0 AS similarity_score, c.summary, c.outcome
+  FROM (SELECT o_orderkey AS submission_id, unnest([1, 2, 3]) AS j FROM orders WHERE o_orderkey % 11 <> 0) o
+  JOIN claim_cases c ON c.case_id = o.submission_id + o.j)"""

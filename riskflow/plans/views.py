@@ -235,3 +235,70 @@ def narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(text)
     )
     return o.select(k.alias("submission_id"), narrative.alias("narrative"))
+
+
+# Names that stand in for factor names a generator got wrong: one shortened
+# (fuzzy-valid, exact-invalid) and one made up (invalid both ways).
+SHORT_FACTOR_NAME = "Fire peril"
+BAD_FACTOR_NAME = "Weather volatility index"
+
+
+def neighbour_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-in retrieval output: for order k the claim cases k+1..k+3 (when
+    they exist; none for every 11th order) with a fixed similarity."""
+    from ..operators.claims import claim_cases
+
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("submission_id"))
+    cc = claim_cases(claims(spark, sf_dir)).select("case_id", "policy_id", "summary", "outcome")
+    k = F.col("submission_id")
+    pairs = o.where(k % 11 != 0).select(
+        "submission_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("j")
+    ).withColumn("case_id", F.col("submission_id") + F.col("j"))
+    return pairs.join(cc, "case_id").select(
+        "submission_id", "j", "policy_id",
+        (((k * 7 + F.col("j") * 13) % 50 + 50).cast("double") / 100.0).alias("similarity_score"),
+        "summary", "outcome",
+    )
+
+
+def analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One assessment record per order, built from the stand-in stages:
+    prediction (``scored``), ranked factors (``factors``, a few names made
+    wrong), neighbours, narrative and the claim's entity summary."""
+    from ..operators.claims import claim_entities
+    from ..operators.explain import collect_factors, top_factors
+    from ..operators.scoring import score
+
+    s = score(scored(spark, sf_dir)).select(
+        "submission_id", "risk_tier", "risk_probability", "predicted_claim_amount", "confidence_score",
+        "incident_severity",
+    )
+    tf = top_factors(factors(spark, sf_dir), "submission_id")
+    pos = F.col("submission_id") + F.col("feature_index")
+    tf = tf.withColumn(
+        "name",
+        F.when(pos % 29 == 0, F.lit(SHORT_FACTOR_NAME)).when(pos % 31 == 0, F.lit(BAD_FACTOR_NAME))
+        .otherwise(F.col("name")),
+    )
+    fac = collect_factors(tf, "submission_id")
+    nb = neighbour_rows(spark, sf_dir).groupBy("submission_id").agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("j", "policy_id", "similarity_score", "summary", "outcome"))),
+            lambda c: F.struct(c["policy_id"].alias("policy_id"), c["similarity_score"].alias("similarity_score"),
+                               c["summary"].alias("summary"), c["outcome"].alias("outcome")),
+        ).alias("similar_cases")
+    )
+    ent = claim_entities(claims(spark, sf_dir), "train").select(
+        F.col("case_id").alias("submission_id"), F.col("entity_summary").alias("entities"), "incident_type"
+    )
+    nar = narratives(spark, sf_dir).withColumnRenamed("narrative", "underwriter_narrative")
+    empty_cases = F.array().cast(nb.schema["similar_cases"].dataType)
+    empty_factors = F.array().cast(fac.schema["key_risk_factors"].dataType)
+    return (
+        s.join(fac, "submission_id", "left")
+        .join(nb, "submission_id", "left")
+        .join(nar, "submission_id", "left")
+        .join(ent, "submission_id", "left")
+        .withColumn("key_risk_factors", F.coalesce("key_risk_factors", empty_factors))
+        .withColumn("similar_cases", F.coalesce("similar_cases", empty_cases))
+    )
