@@ -31,6 +31,7 @@ def load_all() -> None:
     from . import (  # noqa: F401
         q_claims,
         q_entities,
+        q_eval,
         q_quality,
         q_text,
         q_vectors,
