@@ -32,6 +32,7 @@ def load_all() -> None:
         q_claims,
         q_entities,
         q_eval,
+        q_monitor,
         q_quality,
         q_text,
         q_vectors,
