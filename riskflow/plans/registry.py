@@ -29,6 +29,7 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     from . import (  # noqa: F401
+        q_assemble,
         q_claims,
         q_entities,
         q_eval,
