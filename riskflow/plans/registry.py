@@ -35,6 +35,7 @@ def load_all() -> None:
         q_eval,
         q_monitor,
         q_quality,
+        q_sources,
         q_text,
         q_vectors,
     )
