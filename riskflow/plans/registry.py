@@ -36,6 +36,7 @@ def load_all() -> None:
         q_monitor,
         q_quality,
         q_sources,
+        q_streaming,
         q_text,
         q_vectors,
     )

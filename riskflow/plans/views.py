@@ -165,7 +165,12 @@ def factors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Request events: service = event_type, client = user_id, latency = value."""
-    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    return requests_from(table(spark, sf_dir, "events"))
+
+
+def requests_from(events: DataFrame) -> DataFrame:
+    """The request projection of an events table or stream."""
+    e = events.select("event_id", "ts", "user_id", "event_type", "value", "props")
     status = (
         F.when(F.col("event_type") == "error", F.lit(500))
         .when(F.col("event_id") % 23 == 0, F.lit(503))
