@@ -243,3 +243,24 @@ def judge_parse(spark, sf_dir):
         "event_id", F.col("j.detected").alias("detected"), F.col("j.count").alias("count"),
         F.col("j.confidence").alias("confidence"),
     )
+
+
+@register("tree_attribution")
+def tree_attribution(spark, sf_dir):
+    """O-M2 + O-M9 + O-M10: a GBT claim-probability model trained on the
+    claims (small ensemble), path-dependent attributions for every claim,
+    top factors.  Iterative training: rows-only check; additivity and a
+    brute-force Shapley check are in tests/test_scoring.py."""
+    from ..operators import claims as oc2
+    from ..operators import scoring as om
+    from ..operators.tree_explain import explain_trees
+    from ..session import checkpoint_dir
+
+    c = views.claims(spark, sf_dir)
+    table = of.features(oc2.claim_entities(c, "train"), keep=["case_id"]).join(oc2.claim_targets(c), "case_id")
+    model = om.fit_probability(table, max_iter=20, max_depth=4)
+    root = checkpoint_dir(spark, "/tmp/riskflow-checkpoints")
+    import uuid
+
+    phi = explain_trees(table, model.stages[-1], "case_id", f"{root}/gbt-{uuid.uuid4().hex[:12]}")
+    return ox.top_factors(phi, "case_id")

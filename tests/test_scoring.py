@@ -80,3 +80,79 @@ def test_top_factors_rule(spark):
     assert [r["feature_index"] for r in rows] == [1, 4, 0, 5, 6]
     assert rows[0]["direction"] == "decreases_risk" and rows[1]["direction"] == "increases_risk"
     assert rows[0]["name"] == vocab.FEATURE_DISPLAY_NAMES[vocab.FEATURE_NAMES[1]]
+
+
+def test_tree_attributions_add_up(spark, tmp_dir):
+    from pyspark.ml.functions import vector_to_array
+
+    from riskflow.operators.tree_explain import explain_trees
+
+    t = _train_table(spark).cache()
+    model = om.fit_probability(t, max_iter=4, max_depth=3)
+    gbt = model.stages[-1]
+    phi = explain_trees(t, gbt, "case_id", f"{tmp_dir}/gbt")
+    sums = phi.groupBy("case_id").agg((F.sum("shap_value") + F.first("base")).alias("s"))
+    margin = model.transform(t).select("case_id", (2 * F.get(vector_to_array("rawPrediction"), 1)).alias("m"))
+    check = sums.join(margin, "case_id")
+    assert check.count() == t.count()
+    assert check.where(F.abs(F.col("s") - F.col("m")) > 1e-9).count() == 0
+    # the regressor margin is the prediction itself
+    reg = om.fit_severity(t, max_iter=3, max_depth=3)
+    phi2 = explain_trees(t, reg.stages[-1], "case_id", f"{tmp_dir}/gbr")
+    s2 = phi2.groupBy("case_id").agg((F.sum("shap_value") + F.first("base")).alias("s"))
+    p2 = reg.transform(t).select("case_id", F.col("prediction").alias("m"))
+    assert s2.join(p2, "case_id").where(F.abs(F.col("s") - F.col("m")) > 1e-6).count() == 0
+
+
+def test_tree_attributions_match_brute_force():
+    """Shapley values of the path-dependent game by enumeration on one tree."""
+    import itertools
+    import math
+
+    import numpy as np
+
+    from riskflow.operators.tree_explain import _follows, _leaves
+
+    # depth-2 tree on features 0 and 1 with covers
+    nodes = {
+        0: {"id": 0, "prediction": 0.0, "rawCount": 10, "leftChild": 1, "rightChild": 2,
+            "split": {"featureIndex": 0, "leftCategoriesOrThreshold": [0.5], "numCategories": -1}},
+        1: {"id": 1, "prediction": 0.0, "rawCount": 6, "leftChild": 3, "rightChild": 4,
+            "split": {"featureIndex": 1, "leftCategoriesOrThreshold": [1.5], "numCategories": -1}},
+        2: {"id": 2, "prediction": 3.0, "rawCount": 4, "leftChild": -1, "rightChild": -1, "split": None},
+        3: {"id": 3, "prediction": 1.0, "rawCount": 2, "leftChild": -1, "rightChild": -1, "split": None},
+        4: {"id": 4, "prediction": -2.0, "rawCount": 4, "leftChild": -1, "rightChild": -1, "split": None},
+    }
+    leaves = _leaves(nodes, 1.0, 1.0)
+    x = np.array([[0.2, 2.0]])
+
+    # direct enumeration of E[f | x_S] with the cover-weighted tree walk
+    def walk(nid, S):
+        n = nodes[nid]
+        if n["leftChild"] < 0:
+            return n["prediction"]
+        f = n["split"]["featureIndex"]
+        thr = n["split"]["leftCategoriesOrThreshold"][0]
+        if f in S:
+            return walk(n["leftChild"] if x[0, f] <= thr else n["rightChild"], S)
+        l, r = nodes[n["leftChild"]], nodes[n["rightChild"]]
+        return (l["rawCount"] * walk(n["leftChild"], S) + r["rawCount"] * walk(n["rightChild"], S)) / n["rawCount"]
+
+    feats = [0, 1]
+    phi_bf = {}
+    for f in feats:
+        others = [g for g in feats if g != f]
+        tot = 0.0
+        for k in range(len(others) + 1):
+            for S in itertools.combinations(others, k):
+                w = math.factorial(k) * math.factorial(len(feats) - k - 1) / math.factorial(len(feats))
+                tot += w * (walk(0, set(S) | {f}) - walk(0, set(S)))
+        phi_bf[f] = tot
+    phi = np.zeros(2)
+    for leaf in leaves:
+        bits = 0
+        for j in range(len(leaf.features)):
+            bits |= int(_follows(x[:, leaf.features[j]], leaf.tests[j])[0]) << j
+        phi[leaf.features] += leaf.table[bits]
+    assert np.allclose(phi, [phi_bf[0], phi_bf[1]])
+    assert math.isclose(sum(l.base for l in leaves) + phi.sum(), walk(0, {0, 1}))
