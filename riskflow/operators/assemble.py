@@ -149,7 +149,7 @@ def assess(pages: DataFrame, cases: DataFrame, coefficients: dict[str, float], k
     from .vectors import hash_embed, similar_cases
     from ..functions.text import entities_to_text
 
-    summ = summarize_entities(dedup_entities(extract_entities(pages, key, clean=True)), key).persist()
+    summ = summarize_entities(dedup_entities(extract_entities(pages, key, clean=True, offsets=False)), key).persist()
     feats = features(summ.select(key, "entity_summary"), keep=[key])
     contrib = explain_linear(feats, key, coefficients)
     logit = contrib.groupBy(key).agg(F.sum("shap_value").alias("_z"))

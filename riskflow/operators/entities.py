@@ -70,11 +70,15 @@ def entity_pattern(gazetteer: Iterable[tuple[str, str]] = vocab.GAZETTEER,
 
 def extract_entities(pages: DataFrame, key: str = "doc_id", page: str = "page_number",
                      text: str = "text", gazetteer=vocab.GAZETTEER, rules=DEFAULT_RULES,
-                     clean: bool = False) -> DataFrame:
-    """O-N1/O-N2/O-N3: (key, page, text, label, start_char, end_char, confidence).
-
-    Offsets are per page, 0-based, end exclusive.  Phrase and rule hits have
-    confidence 1.0.  ``clean`` applies O-T1 to the page text first.
+                     clean: bool = False, offsets: bool = True) -> DataFrame:
+    """O-N1/O-N2/O-N3: (key, page_number, span_no, text, label, [start_char,
+    end_char,] confidence).
+
+    ``span_no`` is the match's position on its page (the reading order).
+    Offsets are per page, 0-based, end exclusive; they cost a second regex
+    walk (``split``) and a running sum, so callers that only need the order
+    of spans (summaries, features) pass ``offsets=False``.  Phrase and rule
+    hits have confidence 1.0.  ``clean`` applies O-T1 to the page text first.
     """
     pattern = entity_pattern(gazetteer, rules)
     if clean:
@@ -88,20 +92,25 @@ def extract_entities(pages: DataFrame, key: str = "doc_id", page: str = "page_nu
         cond = F.col("_m").rlike("^(?:" + rx + ")$")
         rule_label = F.when(cond, F.lit(lab)) if rule_label is None else rule_label.when(cond, F.lit(lab))
     staged = pages.select(key, page, body.alias("_t"), F.regexp_extract_all(body, F.lit(pattern), 0).alias("_ms"))
-    staged = staged.select(key, page, "_ms", match_starts("_t", pattern, F.col("_ms")).alias("_st"))
-    hits = staged.select(
-        key, page, F.posexplode(F.arrays_zip(F.col("_ms").alias("m"), F.col("_st").alias("s"))).alias("_i", "_z")
-    ).select(key, page, F.col("_z.m").alias("_m"), F.col("_z.s").alias("_s"))
+    if offsets:
+        staged = staged.select(key, page, "_ms", match_starts("_t", pattern, F.col("_ms")).alias("_st"))
+        hits = staged.select(
+            key, page, F.posexplode(F.arrays_zip(F.col("_ms").alias("m"), F.col("_st").alias("s"))).alias("_i", "_z")
+        ).select(key, page, "_i", F.col("_z.m").alias("_m"), F.col("_z.s").alias("_s"))
+    else:
+        hits = staged.select(key, page, F.posexplode("_ms").alias("_i", "_m"))
     label = F.coalesce(F.try_element_at(labels, F.col("_m")), rule_label)
-    return hits.select(
+    cols = [
         key,
         F.col(page).cast("int").alias("page_number"),
+        F.col("_i").cast("int").alias("span_no"),
         F.col("_m").alias("text"),
         label.alias("label"),
-        F.col("_s").cast("int").alias("start_char"),
-        (F.col("_s") + F.length("_m")).cast("int").alias("end_char"),
-        F.lit(1.0).alias("confidence"),
-    )
+    ]
+    if offsets:
+        cols += [F.col("_s").cast("int").alias("start_char"),
+                 (F.col("_s") + F.length("_m")).cast("int").alias("end_char")]
+    return hits.select(*cols, F.lit(1.0).alias("confidence"))
 
 
 def extract_with_model(pages: DataFrame, loader: Callable, key: str = "doc_id", page: str = "page_number",
@@ -111,7 +120,7 @@ def extract_with_model(pages: DataFrame, loader: Callable, key: str = "doc_id",
     label, start, end)]``; spans get ``confidence`` (0.85)."""
     import pandas as pd
 
-    schema = (f"{key} bigint, page_number int, text string, label string, start_char int, "
+    schema = (f"{key} bigint, page_number int, span_no int, text string, label string, start_char int, "
               "end_char int, confidence double")
 
     def run(batches):
@@ -119,88 +128,96 @@ def extract_with_model(pages: DataFrame, loader: Callable, key: str = "doc_id",
         for b in batches:
             rows = []
             for k, p, t in zip(b[key], b[page], b[text]):
-                for et, lab, s, e in model(t or ""):
-                    rows.append((k, p, et, lab, s, e, confidence))
-            yield pd.DataFrame(rows, columns=[key, "page_number", "text", "label", "start_char", "end_char",
-                                              "confidence"])
+                spans = sorted(model(t or ""), key=lambda sp: sp[2])
+                for i, (et, lab, s, e) in enumerate(spans):
+                    rows.append((k, p, i, et, lab, s, e, confidence))
+            yield pd.DataFrame(rows, columns=[key, "page_number", "span_no", "text", "label", "start_char",
+                                              "end_char", "confidence"])
 
     return pages.select(key, page, text).mapInPandas(run, schema)
 
 
 def dedup_entities(entities: DataFrame, key: str = "doc_id") -> DataFrame:
     """O-N4: one entity per (key, lower(text), label): the highest confidence,
-    ties to the first seen; ``first_page``/``first_start`` give the position
-    of the first occurrence of the key (the output order)."""
+    ties to the first seen; ``first_page``/``first_span`` (and ``first_start``
+    when offsets exist) locate the first occurrence of the key (the output
+    order).  One aggregate with map-side combine."""
+    has_offsets = "start_char" in entities.columns
+    order = "span_no" if "span_no" in entities.columns else "start_char"
+    kept = ["text", "confidence", "page_number"] + (["start_char", "end_char"] if has_offsets else [])
     best = F.min_by(
-        F.struct("text", "confidence", "page_number", "start_char", "end_char"),
-        F.struct((-F.col("confidence")).alias("c"), F.col("page_number"), F.col("start_char")),
+        F.struct(*kept),
+        F.struct((-F.col("confidence")).alias("c"), F.col("page_number"), F.col(order)),
     )
-    first = F.min(F.struct("page_number", "start_char"))
+    first_cols = ["page_number", order] + (["start_char"] if has_offsets and order != "start_char" else [])
+    first = F.min(F.struct(*first_cols))
+    out = [
+        key,
+        F.col("_b.text").alias("text"),
+        "label",
+        F.col("_b.confidence").alias("confidence"),
+        F.col("_b.page_number").alias("page_number"),
+    ]
+    if has_offsets:
+        out += [F.col("_b.start_char").alias("start_char"), F.col("_b.end_char").alias("end_char")]
+    out += [F.col("_f.page_number").alias("first_page"), F.col(f"_f.{order}").alias("first_span")]
+    if has_offsets:
+        out.append(F.col("_f.start_char").alias("first_start"))
     return (
         entities.groupBy(key, F.lower("text").alias("_lt"), "label")
         .agg(best.alias("_b"), first.alias("_f"))
-        .select(
-            key,
-            F.col("_b.text").alias("text"),
-            "label",
-            F.col("_b.confidence").alias("confidence"),
-            F.col("_b.page_number").alias("page_number"),
-            F.col("_b.start_char").alias("start_char"),
-            F.col("_b.end_char").alias("end_char"),
-            F.col("_f.page_number").alias("first_page"),
-            F.col("_f.start_char").alias("first_start"),
-        )
+        .select(*out)
     )
 
 
-def summarize_long(deduped: DataFrame, key: str = "doc_id") -> DataFrame:
-    """O-N5 long form: (key, label, label_pos, value_pos, value) with labels and
-    values in first-seen order; the truth behind the summary map."""
-    per_label = deduped.groupBy(key, "label").agg(
-        F.array_sort(F.collect_list(F.struct("first_page", "first_start", "text"))).alias("_v")
-    )
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(key).orderBy(F.col("_v")[0]["first_page"], F.col("_v")[0]["first_start"])
-    ranked = per_label.withColumn("label_pos", (F.row_number().over(w) - 1).cast("bigint"))
-    return ranked.select(
-        key, "label", "label_pos", F.posexplode(F.transform("_v", lambda x: x["text"])).alias("value_pos", "value")
-    ).withColumn("value_pos", F.col("value_pos").cast("bigint"))
-
-
 def summarize_entities(deduped: DataFrame, key: str = "doc_id") -> DataFrame:
     """O-N5: (key, entity_summary MAP<label, ARRAY<text>>, summary_entries
-    ARRAY<STRUCT<label, values>> in first-seen label order)."""
-    per_label = deduped.groupBy(key, "label").agg(
-        F.array_sort(F.collect_list(F.struct("first_page", "first_start", "text"))).alias("_v")
+    ARRAY<STRUCT<label, values>>), labels and values in first-seen order.
+
+    One aggregate per document over the deduplicated entities (bounded by the
+    document's distinct entity texts); labels and their value lists are
+    built in the row from the position-sorted entries."""
+    entries = deduped.groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct("first_page", "first_span", "label", "text"))).alias("_e")
     )
-    entries = per_label.groupBy(key).agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct(
-                    F.col("_v")[0]["first_page"].alias("p"),
-                    F.col("_v")[0]["first_start"].alias("s"),
-                    F.col("label"),
-                    F.transform("_v", lambda x: x["text"]).alias("values"),
-                )
-            )
-        ).alias("_e")
+    labels = F.array_distinct(F.transform("_e", lambda e: e["label"]))
+    ordered = F.transform(
+        labels,
+        lambda lab: F.struct(
+            lab.alias("label"),
+            F.transform(F.filter("_e", lambda e: e["label"] == lab), lambda e: e["text"]).alias("values"),
+        ),
     )
-    ordered = F.transform("_e", lambda e: F.struct(e["label"].alias("label"), e["values"].alias("values")))
-    return entries.select(
+    staged = entries.select(key, ordered.alias("summary_entries"))
+    return staged.select(
         key,
-        F.map_from_entries(F.transform("_e", lambda e: F.struct(e["label"], e["values"]))).alias("entity_summary"),
-        ordered.alias("summary_entries"),
+        F.map_from_entries(F.transform("summary_entries", lambda e: F.struct(e["label"], e["values"]))).alias(
+            "entity_summary"
+        ),
+        "summary_entries",
     )
 
 
+def summarize_long(deduped: DataFrame, key: str = "doc_id") -> DataFrame:
+    """O-N5 long form: (key, label, label_pos, value_pos, value), the truth
+    behind the summary map."""
+    s = summarize_entities(deduped, key)
+    return s.select(key, F.posexplode("summary_entries").alias("label_pos", "e")).select(
+        key,
+        F.col("e.label").alias("label"),
+        F.col("label_pos").cast("bigint").alias("label_pos"),
+        F.posexplode("e.values").alias("value_pos", "value"),
+    ).withColumn("value_pos", F.col("value_pos").cast("bigint"))
+
+
 def summarize_without_dedup(entities: DataFrame, key: str = "doc_id") -> DataFrame:
     """O-N5 as the filing job uses it: distinct exact texts per label, first
     seen order, without the confidence dedup step."""
+    order = "span_no" if "span_no" in entities.columns else "start_char"
     firsts = entities.groupBy(key, "label", "text").agg(
-        F.min(F.struct("page_number", "start_char")).alias("_f")
+        F.min(F.struct("page_number", order)).alias("_f")
     ).select(key, "label", "text", F.col("_f.page_number").alias("first_page"),
-             F.col("_f.start_char").alias("first_start"))
+             F.col(f"_f.{order}").alias("first_span"))
     return summarize_entities(firsts, key)
 
 
@@ -210,7 +227,7 @@ def assemble_documents(files: DataFrame, pages: DataFrame, key: str = "doc_id")
     from .text import full_text
 
     ft = full_text(pages, key)
-    summ = summarize_entities(dedup_entities(extract_entities(pages, key)), key)
+    summ = summarize_entities(dedup_entities(extract_entities(pages, key, offsets=False)), key)
     return (
         files.join(ft, key, "left")
         .join(summ, key, "left")

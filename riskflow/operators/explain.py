@@ -14,32 +14,27 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions.core import map_literal
-from .features import features_long
 
 
 def explain_linear(features_df: DataFrame, key: str, coefficients: Mapping[str, float],
-                   means: Mapping[str, float] | DataFrame | None = None) -> DataFrame:
+                   means: Mapping[str, float] | None = None,
+                   feature_names: list[str] = vocab.FEATURE_NAMES) -> DataFrame:
     """O-M8: exact additive contributions of a linear model,
     beta_j * (x_j - mean_j), long form (key, feature_index, feature, shap_value).
 
-    ``means`` defaults to the column means of ``features_df`` (one global
-    aggregate, 28 numbers, joined as a broadcast of a bounded table).
+    ``means`` defaults to the column means of ``features_df``: one global
+    aggregate whose single row (28 numbers) becomes literals, so the
+    contributions are one generator projection with no join.
     """
-    long = features_long(features_df, key)
     if means is None:
-        means = long.groupBy("feature").agg(F.avg("value").alias("_mean"))
-    elif not isinstance(means, DataFrame):
-        means = features_df.sparkSession.createDataFrame(list(means.items()), "feature string, _mean double")
-    beta = map_literal({k: float(v) for k, v in coefficients.items()})
-    joined = long.join(F.broadcast(means), "feature")
-    return joined.select(
-        key,
-        "feature_index",
-        "feature",
-        (F.coalesce(F.try_element_at(beta, F.col("feature")), F.lit(0.0)) * (F.col("value") - F.col("_mean"))).alias(
-            "shap_value"
-        ),
-    )
+        row = features_df.agg(*[F.avg(F.col(n)).alias(n) for n in feature_names]).first()
+        means = {n: (row[n] if row[n] is not None else 0.0) for n in feature_names}
+    pieces = []
+    for i, n in enumerate(feature_names):
+        beta = float(coefficients.get(n, 0.0))
+        pieces.append(f"{i}, '{n}', CAST({beta!r} AS DOUBLE) * (CAST(`{n}` AS DOUBLE) - CAST({float(means[n])!r} AS DOUBLE))")
+    expr = f"stack({len(feature_names)}, {', '.join(pieces)}) AS (feature_index, feature, shap_value)"
+    return features_df.select(key, F.expr(expr)).withColumn("feature_index", F.col("feature_index").cast("int"))
 
 
 def linear_model_terms(lr_pipeline_model) -> dict[str, float]:
