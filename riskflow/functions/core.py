@@ -22,9 +22,15 @@ WS = (r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x
       r"\x{202f}\x{205f}\x{3000}]")
 
 
+# The same characters as a plain string, for character-set trimming.
+WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+            + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000")
+
+
 def strip(c: Column | str) -> Column:
-    """Python ``str.strip()``: remove leading/trailing whitespace."""
-    return F.regexp_replace(col(c), f"^{WS}+|{WS}+$", "")
+    """Python ``str.strip()``: remove leading/trailing whitespace (a
+    character-set trim; it only touches the ends of the string)."""
+    return F.btrim(col(c), F.lit(WS_CHARS))
 
 
 def map_literal(mapping: Mapping) -> Column:
