@@ -70,22 +70,32 @@ def chunk_text(df: DataFrame, key: str, text: str = "text", min_len: int = 200,
 
 
 def chunk_cases(chunks: DataFrame, company: str = "company", order: str = "doc_id",
-                offset: int = vocab.FILING_CASE_ID_OFFSET) -> DataFrame:
+                offset: int = vocab.FILING_CASE_ID_OFFSET, bucket_bits: int = 16) -> DataFrame:
     """O-T7: filing chunks -> case records with one running number ``i`` over
     all chunks ordered by (company, order key, chunk_no).
 
-    The running number is two-level: chunk counts per document (one row per
-    document) get a prefix sum, then each chunk adds its own chunk_no; no
-    window spans all chunks.
+    The running number is a prefix sum built in three bounded levels:
+    chunk counts per document; per (company, order >> bucket_bits) bucket
+    totals, whose prefix runs over a table of at most #companies +
+    #documents / 2^bucket_bits rows; and a running sum inside each bucket
+    (at most 2^bucket_bits documents).  ``order`` must be an integer key.
     """
-    per_doc = chunks.groupBy(company, order).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = per_doc.select(
-        company,
-        order,
-        F.coalesce(
-            F.sum("_n").over(Window.orderBy(company, order).rowsBetween(Window.unboundedPreceding, -1)),
-            F.lit(0),
-        ).alias("_before"),
+    per_doc = chunks.groupBy(company, order).agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_bk", F.shiftright(F.col(order).cast("bigint"), bucket_bits)
+    )
+    per_bucket = per_doc.groupBy(company, "_bk").agg(F.sum("_n").alias("_bn"))
+    bucket_before = per_bucket.select(
+        company, "_bk",
+        F.coalesce(F.sum("_bn").over(Window.orderBy(company, "_bk").rowsBetween(Window.unboundedPreceding, -1)),
+                   F.lit(0)).alias("_bb"),
+    )
+    within = per_doc.select(
+        company, order, "_bk",
+        F.coalesce(F.sum("_n").over(Window.partitionBy(company, "_bk").orderBy(order)
+                                    .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_wb"),
+    )
+    offsets = within.join(bucket_before, [company, "_bk"]).select(
+        company, order, (F.col("_bb") + F.col("_wb")).alias("_before")
     )
     i = F.col("_before") + F.col("chunk_no")
     name = F.col(company)

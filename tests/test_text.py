@@ -94,3 +94,11 @@ def test_extract_section_filing_markers(spark):
     assert r.startswith("Item 1A Risk Factors") and r.endswith(body)
     short = spark.createDataFrame([("no markers",)], "h string").select(ft.extract_section("h")).first()[0]
     assert short is None
+
+
+def test_chunk_case_numbering_independent_of_buckets(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text", F.col("source").alias("company"))
+    chunks = ot.chunk_text(docs, "doc_id", "text").join(docs.select("doc_id", "company"), "doc_id")
+    a = {(r.doc_id, r.chunk_no): r.case_id for r in ot.chunk_cases(chunks, bucket_bits=16).collect()}
+    b = {(r.doc_id, r.chunk_no): r.case_id for r in ot.chunk_cases(chunks, bucket_bits=2).collect()}
+    assert a == b and sorted(a.values()) == list(range(10000, 10000 + len(a)))
