@@ -68,7 +68,7 @@ def assemble_analysis(submissions: DataFrame, predictions: DataFrame | None = No
     return out
 
 
-def pipeline_trace(stages: DataFrame, key: str = "submission_id", stage: str = "stage", ms: str = "ms") -> DataFrame:
+def stage_trace(stages: DataFrame, key: str = "submission_id", stage: str = "stage", ms: str = "ms") -> DataFrame:
     """O-J3: stage times side by side (ingestion, prediction, rag, llm), the
     total of the known ones and whether any is missing."""
     names = ["ingestion", "prediction", "rag", "llm"]

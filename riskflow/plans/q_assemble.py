@@ -77,7 +77,7 @@ _STAGE_MAP = {"view": "ingestion", "click": "prediction", "purchase": "rag", "si
 
 
 @register(
-    "pipeline_trace",
+    "stage_trace",
     f"""SELECT user_id AS submission_id, round(ingestion_ms, 6) AS ingestion_ms, round(prediction_ms, 6) AS prediction_ms,
   round(rag_ms, 6) AS rag_ms, round(llm_ms, 6) AS llm_ms,
   round(coalesce(ingestion_ms, 0.0) + coalesce(prediction_ms, 0.0) + coalesce(rag_ms, 0.0) + coalesce(llm_ms, 0.0), 6) AS total_ms,
@@ -89,7 +89,7 @@ FROM (SELECT user_id,
     sum(value) FILTER (WHERE event_type = 'signup') AS llm_ms
   FROM events WHERE event_type IN ('view', 'click', 'purchase', 'signup') GROUP BY user_id)""",
 )
-def pipeline_trace(spark, sf_dir):
+def stage_trace(spark, sf_dir):
     """O-J3: stage times per submission from the event stream."""
     e = views.table(spark, sf_dir, "events")
     stages = e.where(F.col("event_type").isin(*_STAGE_MAP)).select(
@@ -98,7 +98,7 @@ def pipeline_trace(spark, sf_dir):
         .alias("stage"),
         F.col("value").alias("ms"),
     )
-    out = oa.pipeline_trace(stages, "submission_id", "stage", "ms")
+    out = oa.stage_trace(stages, "submission_id", "stage", "ms")
     # sums of doubles: compare at 6 places (summation order differs between engines)
     return out.select("submission_id", *[F.round(f"{n}_ms", 6).alias(f"{n}_ms") for n in
                                          ["ingestion", "prediction", "rag", "llm", "total"]], "has_missing_stage")

@@ -33,6 +33,7 @@ def load_all() -> None:
         q_claims,
         q_entities,
         q_eval,
+        q_jobs,
         q_monitor,
         q_quality,
         q_sources,
