@@ -135,12 +135,14 @@ def judge_context(df: DataFrame, key: str = "submission_id") -> DataFrame:
 
 def assess(pages: DataFrame, cases: DataFrame, coefficients: dict[str, float], k: int = vocab.DEFAULT_TOP_K,
            threshold: float = vocab.SEARCH_THRESHOLD, dim: int = 384, key: str = "doc_id",
-           narratives: DataFrame | None = None) -> DataFrame:
+           narratives: DataFrame | None = None, approximate: dict | None = None) -> DataFrame:
     """O-J5: pages -> entities -> summary -> features -> linear score, tier and
     attributions -> hashed entity text -> top-k similar cases -> assessment
     and quality checks, as one lazy plan.  ``cases``: case_id, policy_id,
     summary, outcome, vector.  The summary table feeds two branches
-    (features and retrieval), so it is persisted once."""
+    (features and retrieval), so it is persisted once.  Exact search costs
+    |submissions| x |cases| dot products; for large case tables pass
+    ``approximate={"n_cells": ..., "nprobe": ...}`` to search inverted lists."""
     from .entities import dedup_entities, extract_entities, summarize_entities
     from .explain import collect_factors, explain_linear, top_factors
     from .features import features
@@ -159,7 +161,12 @@ def assess(pages: DataFrame, cases: DataFrame, coefficients: dict[str, float], k
     fac = collect_factors(top_factors(contrib, key), key)
     text = summ.select(key, entities_to_text("entity_summary").alias("_txt"))
     qv = hash_embed(text, key, "_txt", dim)
-    nb = similar_cases(qv, cases, k, threshold, query_key=key)
+    if approximate is None:
+        nb = similar_cases(qv, cases, k, threshold, query_key=key)
+    else:
+        from .vectors import similar_cases_ann
+
+        nb = similar_cases_ann(qv, cases, k, threshold, query_key=key, **approximate)
     meta = cases.select("case_id", "policy_id", "summary", "outcome")
     nbl = nb.join(meta, "case_id").groupBy(F.col("query_id").alias(key)).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "policy_id", "similarity_score", "summary",

@@ -48,12 +48,17 @@ def predict(summaries: DataFrame, probability_model, severity_model, key: str =
 
 
 def search(summaries: DataFrame, cases: DataFrame, k: int = vocab.DEFAULT_TOP_K,
-           threshold: float = vocab.SEARCH_THRESHOLD, key: str = "submission_id", dim: int = 384) -> DataFrame:
+           threshold: float = vocab.SEARCH_THRESHOLD, key: str = "submission_id", dim: int = 384,
+           approximate: dict | None = None) -> DataFrame:
     """POST /search: O-T9 -> O-V1 -> O-V4 -> O-V7 -> O-V8; ``cases`` carries
-    case_id, policy_id, summary, outcome, vector."""
+    case_id, policy_id, summary, outcome, vector.  ``approximate`` (e.g.
+    ``{"n_cells": 1000, "nprobe": 8}``) switches to inverted-list search."""
     text = summaries.select(key, entities_to_text("entity_summary").alias("query_text"))
     qv = ov.hash_embed(text, key, "query_text", dim)
-    nb = ov.similar_cases(qv, cases, k, threshold, query_key=key)
+    if approximate is None:
+        nb = ov.similar_cases(qv, cases, k, threshold, query_key=key)
+    else:
+        nb = ov.similar_cases_ann(qv, cases, k, threshold, query_key=key, **approximate)
     meta = cases.select("case_id", "policy_id", "summary", "outcome")
     joined = ov.case_join(nb.withColumnRenamed("query_id", key), meta)
     total = cases.agg(F.count(F.lit(1))).first()[0]
