@@ -22,8 +22,7 @@ C = sv.with_ctes
 
 def _analysis_parts(spark, sf_dir):
     k = F.col("submission_id")
-    subs = views.table(spark, sf_dir, "orders").select(k.alias("submission_id") if False else
-                                                       F.col("o_orderkey").alias("submission_id"))
+    subs = views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("submission_id"))
     pred = om_score.score(views.scored(spark, sf_dir)).where(k % 13 != 0).select(
         "submission_id", "risk_tier", "risk_probability", "predicted_claim_amount", "confidence_score"
     )

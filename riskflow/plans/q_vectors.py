@@ -108,8 +108,9 @@ def search_response(spark, sf_dir):
     cases = views.case_vectors(spark, sf_dir)
     nb = ov.neighbour_display(ov.case_join(_knn(spark, sf_dir), _case_meta(spark, sf_dir)))
     total = cases.agg(F.count(F.lit(1)).alias("total_indexed"))
-    resp = ov.search_response(views.query_vectors(spark, sf_dir).select("query_id"), nb, F.lit(0))
-    resp = resp.drop("total_indexed").join(F.broadcast(total), how="cross") if False else resp.drop("total_indexed")
+    n_indexed = total.first()[0]  # one number
+    resp = ov.search_response(views.query_vectors(spark, sf_dir).select("query_id"), nb,
+                              F.lit(n_indexed).cast("bigint"))
     agg = nb.groupBy("query_id").agg(
         F.max(F.when(F.col("rank") == 1, F.col("similarity_percent"))).alias("top_percent"),
         F.max("is_filing").alias("any_filing"),
@@ -120,7 +121,6 @@ def search_response(spark, sf_dir):
         .withColumn("top_policy", F.get(F.col("results.policy_id"), 0))
         .withColumn("policies", F.nullif(F.array_join(F.col("results.policy_id"), ","), F.lit("")))
         .withColumn("any_filing", F.coalesce(F.col("any_filing"), F.lit(False)))
-        .withColumn("total_indexed", F.lit(total.first()[0]).cast("bigint"))
         .select("query_id", "n_results", "top_policy", "top_percent", "any_filing", "policies", "total_indexed")
     )
 
