@@ -18,7 +18,7 @@ def test_foreach_batch_summaries_equal_batch(spark, tmp_dir):
     pages.withColumn("part", F.col("page_number") % 3).write.partitionBy("part").parquet(src)
     stream = spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", 1).parquet(src)
     ents = st.stream_entities(stream.select("doc_id", "page_number", "text"))
-    q = (ents.writeStream.foreachBatch(st.summary_batch_writer(f"{tmp_dir}/ents", f"{tmp_dir}/summ"))
+    q = (ents.writeStream.foreachBatch(st.summary_batch_writer(f"{tmp_dir}/ents", f"{tmp_dir}/summ", buckets=16))
          .option("checkpointLocation", f"{tmp_dir}/ckpt").trigger(availableNow=True).start())
     q.awaitTermination()
     got = {r["doc_id"]: r["entity_summary"] for r in st.latest_summaries(spark, f"{tmp_dir}/summ").collect()}
