@@ -68,3 +68,11 @@ def round6(c: Column) -> Column:
 def js_round(c: Column) -> Column:
     """JavaScript ``Math.round`` (halves go up)."""
     return F.floor(c + F.lit(0.5))
+
+
+def explode_with_pos(df, keep: list, arr: Column, pos: str, value: str):
+    """``posexplode`` of an array expression without Spark's inferred
+    ``size(arr) > 0`` filter, which would copy (and so evaluate twice) an
+    expensive array expression: the outer form plus a null-position filter
+    keeps exactly the rows of the non-empty arrays."""
+    return df.select(*keep, F.posexplode_outer(arr).alias(pos, value)).where(F.col(pos).isNotNull())

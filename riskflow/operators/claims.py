@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab
-from ..functions.core import empty_str_array, lookup, non_null_array, strip
+from ..functions.core import empty_str_array, explode_with_pos, lookup, non_null_array, strip
 
 
 def _present(c: Column) -> Column:
@@ -135,14 +135,11 @@ def claim_entities(claims: DataFrame, flavour: str = "train") -> DataFrame:
 def summary_long(df: DataFrame, key: str, summary: str = "entity_summary") -> DataFrame:
     """Map column -> long rows (key, label, label_pos, value_pos, value); the
     order-preserving form used for checks and for joins."""
-    return df.select(
-        key, F.posexplode(F.map_entries(F.col(summary))).alias("label_pos", "e")
-    ).select(
-        key,
-        F.col("e.key").alias("label"),
-        F.col("label_pos").cast("bigint").alias("label_pos"),
-        F.posexplode(F.col("e.value")).alias("value_pos", "value"),
-    ).withColumn("value_pos", F.col("value_pos").cast("bigint"))
+    labels = explode_with_pos(df, [key], F.map_entries(F.col(summary)), "label_pos", "e").select(
+        key, F.col("e.key").alias("label"), F.col("label_pos").cast("bigint").alias("label_pos"), "e"
+    )
+    return explode_with_pos(labels, [key, "label", "label_pos"], F.col("e.value"), "value_pos", "value") \
+        .withColumn("value_pos", F.col("value_pos").cast("bigint"))
 
 
 def claim_cases(claims: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab
-from ..functions.core import map_literal
+from ..functions.core import explode_with_pos, map_literal
 from ..functions.text import clean_text, match_starts
 
 _SPECIAL = set(".^$*+?()[]{}|\\-/")
@@ -94,11 +94,11 @@ def extract_entities(pages: DataFrame, key: str = "doc_id", page: str = "page_nu
     staged = pages.select(key, page, body.alias("_t"), F.regexp_extract_all(body, F.lit(pattern), 0).alias("_ms"))
     if offsets:
         staged = staged.select(key, page, "_ms", match_starts("_t", pattern, F.col("_ms")).alias("_st"))
-        hits = staged.select(
-            key, page, F.posexplode(F.arrays_zip(F.col("_ms").alias("m"), F.col("_st").alias("s"))).alias("_i", "_z")
+        hits = explode_with_pos(
+            staged, [key, page], F.arrays_zip(F.col("_ms").alias("m"), F.col("_st").alias("s")), "_i", "_z"
         ).select(key, page, "_i", F.col("_z.m").alias("_m"), F.col("_z.s").alias("_s"))
     else:
-        hits = staged.select(key, page, F.posexplode("_ms").alias("_i", "_m"))
+        hits = explode_with_pos(staged, [key, page], F.col("_ms"), "_i", "_m")
     label = F.coalesce(F.try_element_at(labels, F.col("_m")), rule_label)
     cols = [
         key,
@@ -202,12 +202,11 @@ def summarize_long(deduped: DataFrame, key: str = "doc_id") -> DataFrame:
     """O-N5 long form: (key, label, label_pos, value_pos, value), the truth
     behind the summary map."""
     s = summarize_entities(deduped, key)
-    return s.select(key, F.posexplode("summary_entries").alias("label_pos", "e")).select(
-        key,
-        F.col("e.label").alias("label"),
-        F.col("label_pos").cast("bigint").alias("label_pos"),
-        F.posexplode("e.values").alias("value_pos", "value"),
-    ).withColumn("value_pos", F.col("value_pos").cast("bigint"))
+    labels = explode_with_pos(s, [key], F.col("summary_entries"), "label_pos", "e").select(
+        key, F.col("e.label").alias("label"), F.col("label_pos").cast("bigint").alias("label_pos"), "e"
+    )
+    return explode_with_pos(labels, [key, "label", "label_pos"], F.col("e.values"), "value_pos", "value") \
+        .withColumn("value_pos", F.col("value_pos").cast("bigint"))
 
 
 def summarize_without_dedup(entities: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab
-from ..functions.core import WS, strip
+from ..functions.core import WS, explode_with_pos, strip
 from ..functions.text import sentences
 
 PARAGRAPH_SPLIT = rf"\n{WS}*\n"
@@ -21,7 +21,7 @@ def paragraphs(df: DataFrame, key: str, text: str = "text", sep: str = PARAGRAPH
                min_len: int = 200) -> DataFrame:
     """O-T4: (key, paragraph_no, paragraph): split, strip, keep >= min_len chars."""
     return (
-        df.select(key, F.posexplode(F.split(F.col(text), sep, -1)).alias("paragraph_no", "p"))
+        explode_with_pos(df, [key], F.split(F.col(text), sep, -1), "paragraph_no", "p")
         .select(key, F.col("paragraph_no").cast("int"), strip(F.col("p")).alias("paragraph"))
         .where(F.length("paragraph") >= min_len)
     )
@@ -58,13 +58,10 @@ def chunk_text(df: DataFrame, key: str, text: str = "text", min_len: int = 200,
     flushed when adding the next sentence would pass ``max_len`` and it
     already has ``min_len`` chars; a short tail is dropped)."""
     paras = paragraphs(df, key, text, PARAGRAPH_SPLIT, min_len)
-    pieces = paras.select(
-        key,
-        "paragraph_no",
-        F.when(F.length("paragraph") <= max_len, F.array(F.col("paragraph")))
-        .otherwise(_pack(sentences(F.col("paragraph")), min_len, max_len))
-        .alias("chunks"),
-    ).select(key, "paragraph_no", F.posexplode("chunks").alias("piece_no", "chunk"))
+    packed = F.when(F.length("paragraph") <= max_len, F.array(F.col("paragraph"))).otherwise(
+        _pack(sentences(F.col("paragraph")), min_len, max_len)
+    )
+    pieces = explode_with_pos(paras, [key, "paragraph_no"], packed, "piece_no", "chunk")
     w = Window.partitionBy(key).orderBy("paragraph_no", "piece_no")
     return pieces.select(key, (F.row_number().over(w) - 1).cast("int").alias("chunk_no"), "chunk")
 
@@ -137,8 +134,8 @@ def narrative_sections(df: DataFrame, key: str, text: str = "narrative") -> Data
     comes first when it has non-blank text; no text at all -> one section
     with body ``No narrative generated.``.
     """
-    lines = df.select(key, (F.col(text).isNull() | (F.col(text) == "")).alias("_e"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1))
-                      .alias("line_no", "line"))
+    lines = explode_with_pos(df, [key, (F.col(text).isNull() | (F.col(text) == "")).alias("_e")],
+                             F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), "line_no", "line")
     h1 = F.regexp_extract("line", _HEADING, 1)
     h2 = F.regexp_extract("line", _BOLD_HEADING, 1)
     is_h = F.col("line").rlike(_HEADING) | F.col("line").rlike(_BOLD_HEADING)

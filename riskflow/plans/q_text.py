@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as ft
-from ..functions.core import WS
+from ..functions.core import WS, explode_with_pos
 from ..operators import text as ot
 from . import sql_views as sv
 from . import views
@@ -68,7 +68,7 @@ FROM (SELECT doc_id, {sv.sentences('text')} AS s FROM documents)""",
 def sentences(spark, sf_dir):
     """O-T5 over every document."""
     d = views.table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.posexplode(ft.sentences("text")).alias("sentence_no", "sentence")).withColumn(
+    return explode_with_pos(d, ["doc_id"], ft.sentences("text"), "sentence_no", "sentence").withColumn(
         "sentence_no", F.col("sentence_no").cast("bigint")
     )
 

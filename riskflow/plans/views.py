@@ -36,7 +36,15 @@ FIXED_SIZE_TABLES = {"region": 5, "nation": 25}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One driver table.  A scan with fewer splits than the session's default
+    parallelism (a small single-file table) is spread round-robin so the
+    row-level work after it uses every core; on a cluster, where a large
+    table has many splits, this is a no-op."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name not in FIXED_SIZE_TABLES and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
+    return df
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,11 +129,11 @@ def submission_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("Property: "), pick(vocab.PROPERTY_TYPE_PHRASES, (sp + ln) % len(vocab.PROPERTY_TYPE_PHRASES)),
         F.lit(" at "), (p % 1000).cast("string"), F.lit(" Main St.\n\n"),
     )
-    return li.select(
-        k.alias("doc_id"),
-        (F.row_number().over(w) - 1).cast("int").alias("page_number"),
-        text.alias("text"),
-    )
+    # Number the pages on the narrow key columns first; the page text is built
+    # after the window so it is generated in the post-shuffle tasks and never
+    # shuffled or sorted itself.
+    numbered = li.withColumn("_page", (F.row_number().over(w) - 1).cast("int"))
+    return numbered.select(k.alias("doc_id"), F.col("_page").alias("page_number"), text.alias("text"))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
