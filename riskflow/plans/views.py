@@ -35,14 +35,21 @@ AUTHORITY_VALUES = ["Police", "Fire", "Ambulance", "Other", "None"]
 FIXED_SIZE_TABLES = {"region": 5, "nation": 25}
 
 
+SPREAD_MIN_BYTES = 2 * 1024 * 1024
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table.  A scan with fewer splits than the session's default
-    parallelism (a small single-file table) is spread round-robin so the
-    row-level work after it uses every core; on a cluster, where a large
-    table has many splits, this is a no-op."""
+    """One driver table.  A scan of a few MB that lands in fewer splits than
+    the session's default parallelism (one small file) is spread round-robin
+    so the row-level work after it uses every core; tinier tables are not
+    worth the extra stage, and on a cluster a large table already has many
+    splits, so there this is a no-op."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in FIXED_SIZE_TABLES:
+        return df
     cores = spark.sparkContext.defaultParallelism
-    if name not in FIXED_SIZE_TABLES and df.rdd.getNumPartitions() < cores:
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) >= SPREAD_MIN_BYTES and df.rdd.getNumPartitions() < cores:
         df = df.repartition(cores)
     return df
 
