@@ -76,3 +76,14 @@ def test_model_hook(spark):
 
     rows = oe.extract_with_model(pages, loader).collect()
     assert rows[0]["label"] == "PERSON" and rows[0]["confidence"] == 0.85
+
+
+def test_explode_with_pos_keeps_order_and_drops_empty(spark):
+    from riskflow.functions.core import explode_with_pos
+
+    df = spark.createDataFrame([(1, ["a", "b"]), (2, []), (3, None), (4, ["c"])], "k int, xs array<string>")
+    rows = explode_with_pos(df, ["k"], F.col("xs"), "p", "x").orderBy("k", "p").collect()
+    assert [(r.k, r.p, r.x) for r in rows] == [(1, 0, "a"), (1, 1, "b"), (4, 0, "c")]
+    plan = explode_with_pos(df, ["k"], F.split(F.lit("a b"), " "), "p", "x")._jdf.queryExecution() \
+        .optimizedPlan().toString()
+    assert "size(" not in plan
