@@ -184,7 +184,10 @@ def end_to_end(spark, sf_dir):
     attributions -> neighbours from the claim case index -> assessment and
     quality checks (one lazy plan; rows-only check, parts have oracles)."""
     pages = views.submission_pages(spark, sf_dir)
-    out = oa.assess(pages, case_index(spark, sf_dir), LINEAR_BETA, key="doc_id")
+    # the case index is an offline artefact used three times below (block
+    # sizing, search, metadata): build it once
+    cases = case_index(spark, sf_dir).persist()
+    out = oa.assess(pages, cases, LINEAR_BETA, key="doc_id")
     return out.select(
         "doc_id", "risk_tier", "risk_probability", "confidence_score",
         F.size("key_risk_factors").cast("bigint").alias("n_factors"),
