@@ -257,7 +257,8 @@ def tree_attribution(spark, sf_dir):
     from ..session import checkpoint_dir
 
     c = views.claims(spark, sf_dir)
-    table = of.features(oc2.claim_entities(c, "train"), keep=["case_id"]).join(oc2.claim_targets(c), "case_id")
+    # used by every boosting round and again for the attributions: build once
+    table = of.features(oc2.claim_entities(c, "train"), keep=["case_id"]).join(oc2.claim_targets(c), "case_id").persist()
     model = om.fit_probability(table, max_iter=20, max_depth=4)
     root = checkpoint_dir(spark, "/tmp/riskflow-checkpoints")
     import uuid
