@@ -1,4 +1,4 @@
-"""Session-level helpers: recommended settings, checkpoint folder, size checks.
+"""Session-level helpers: recommended settings, checkpoint folder.
 
 The library never creates a session for the caller; these helpers only read
 from (or, for tests and the bench, add defaults to) the session it is given.
@@ -7,9 +7,10 @@ from (or, for tests and the bench, add defaults to) the session it is given.
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
 # Settings a cluster job should run with.  AQE re-plans joins from runtime
 # sizes, coalesces small shuffle partitions and splits skewed ones.
@@ -32,40 +33,19 @@ def apply_recommended_conf(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession, default: str | None = None) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this must already be set to shared storage; only when it is
-    unset (tests, the local bench) is ``default`` installed.
+    On a cluster it must be set to shared storage.  Where it is unset,
+    ``default`` is installed; without one, a session whose executor is the
+    driver itself (master ``local[...]``) gets a new temporary folder, and any
+    other session is refused.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir()
+    current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if current:
         return current
     if default is None:
-        raise RuntimeError("spark.checkpoint.dir is not set on this session")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set on this session")
+        default = tempfile.mkdtemp(prefix="riskflow-checkpoints-")
     os.makedirs(default, exist_ok=True)
     spark.conf.set("spark.checkpoint.dir", default)
     spark.sparkContext.setCheckpointDir(default)
     return default
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (never local)."""
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    return df.checkpoint(eager=True)
-
-
-def row_count_at_most(df: DataFrame, limit: int) -> bool:
-    """True when ``df`` has at most ``limit`` rows.
-
-    Runs a bounded job (``limit(limit + 1)``), so the check costs at most
-    ``limit + 1`` rows of work however large the input is.
-    """
-    return df.limit(limit + 1).count() <= limit
-
-
-def broadcast_if_bounded(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast hint only behind a checked row bound; else leave the choice to AQE."""
-    return F.broadcast(df) if row_count_at_most(df, max_rows) else df
