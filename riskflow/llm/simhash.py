@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graph
-from .common import staged
+from .common import fresh, staged
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
@@ -205,6 +205,22 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return dealt.sortWithinPartitions("key", "sub").mapInArrow(_links(max_bits), "a long, b long").distinct()
 
 
+def groups(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """(fp, component_id, first_fp) for every distinct fingerprint of ``prints``
+    (doc_id, fp): the smallest doc_id whose fingerprint is reachable, and the
+    fingerprint of that document."""
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    roots = staged(graph.components(links(distinct.select("fp"), max_bits), "a", "b"), "roots")
+    least = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", "low", F.coalesce("root", "fp").alias("root")
+    )
+    first = least.groupBy("root").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "fp")).alias("first"))
+    named = least.select("fp", "root").join(first, "root")
+    return staged(
+        named.select("fp", F.col("first.low").alias("component_id"), F.col("first.fp").alias("first_fp")), "simhash-groups"
+    )
+
+
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS,
@@ -218,16 +234,24 @@ def near_duplicates(
     (then null).  An empty table gives an empty result.
     """
     prints = staged(docs.select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text), words).alias("fp")), "simhash")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    roots = staged(graph.components(links(distinct.select("fp"), max_bits), "a", "b"), "roots")
-    least = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "low", F.coalesce("root", "fp").alias("root")
-    )
-    named = staged(
-        least.join(least.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "component_id"),
-        "simhash-groups",
+    return prints.join(groups(prints, max_bits), "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_first(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
+    words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS,
+) -> DataFrame:
+    """The rows of ``docs`` as they are, but of each group of near copies only
+    the one with the smallest doc_id (a row without id only where no row of the
+    group has one; one of rows that repeat both id and fingerprint)."""
+    fp, first, low = fresh(docs, "fp"), fresh(docs, "first"), fresh(docs, "low")
+    marked = staged(docs.withColumn(fp, fingerprints(F.col(text), words)), "marked")
+    found = groups(marked.select(F.col(doc_id).alias("doc_id"), F.col(fp).alias("fp")), max_bits)
+    keep = found.where(F.col("fp") == F.col("first_fp")).select(
+        F.col("fp").alias(first), F.col("component_id").alias(low)
     )
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    kept = marked.join(keep, (F.col(fp) == F.col(first)) & F.col(doc_id).eqNullSafe(F.col(low)), "left_semi")
+    return kept.dropDuplicates([fp, doc_id]).drop(fp)
 
 
 def hex_print(fp: Column) -> Column:
