@@ -7,7 +7,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language, licenses, packing, quality, simhash, token_counts, url_reputation
+from . import (
+    byte_bpe,
+    cover_tree,
+    hilbert_search,
+    language,
+    licenses,
+    packing,
+    quality,
+    simhash,
+    token_counts,
+    url_reputation,
+)
 from .common import table
 
 QUERIES: dict = {}
@@ -51,6 +62,11 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op5_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op6_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared = packing.word_ids(spark, public_tokenizers.path("word_bpe_49k.json"))
@@ -73,6 +89,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_hilbert_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
