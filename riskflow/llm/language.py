@@ -43,10 +43,15 @@ _TOP = np.uint64(64 - BITS)
 def _buckets(text: str, seen: np.ndarray) -> None:
     """Marks the hashed 1- to 3-grams of a text's letters (lower case, anything
     else one space) in ``seen``."""
-    tail = ""
+    tail = " "
     for at in range(0, len(text), PIECE_CHARS):
-        part = tail + _NOT_LETTERS(" ", text[at : at + PIECE_CHARS].lower())
-        code = np.frombuffer((" " * (not tail) + part + " ").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        part = _NOT_LETTERS(" ", text[at : at + PIECE_CHARS].lower())
+        if tail[-1] == " " and part[0] == " ":
+            part = part[1:]
+        if at + PIECE_CHARS >= len(text) and (tail + part)[-1] != " ":
+            part += " "
+        part = tail + part
+        code = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         one = code * _M[0] + _M[1]
         two = (code[:-1] * _M[1] + code[1:]) * _M[2] + _M[0]
         three = ((code[:-2] * _M[0] + code[1:-1]) * _M[1] + code[2:]) * _M[2]

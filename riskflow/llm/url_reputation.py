@@ -81,9 +81,12 @@ def _strength(children: DataFrame) -> float:
     return children.where("n > 0").agg((1 / rho - 1).alias("k")).first().k
 
 
-def _shrunk(k: float) -> Column:
-    """A child's rate, shrunk to its parent's rate ``m`` by a prior of strength ``k``."""
-    return (F.col("bad") + k * F.col("m")) / (F.col("n") + k)
+def _prior(parents: DataFrame, children: DataFrame, on: list[str], k: float) -> DataFrame:
+    """``children`` with ``m``: the rate of their parent without the child's own
+    pages, shrunk to the parent's prior by strength ``k``."""
+    above = parents.select(*on, F.col("n").alias("p_n"), F.col("bad").alias("p_bad"), F.col("m").alias("p_m"))
+    m = (F.col("p_bad") - F.col("bad") + k * F.col("p_m")) / (F.col("p_n") - F.col("n") + k)
+    return children.join(above, on).select(*children.columns, m.alias("m"))
 
 
 def host_reputation(pages: DataFrame, outcomes: DataFrame, bad_limit: float = BAD_LIMIT, z: float = BOUND_Z) -> DataFrame:
@@ -106,10 +109,11 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, bad_limit: float = BA
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     overall = hosts.agg(F.coalesce(F.sum("bad") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)).alias("m")).first().m
     level1 = suffixes.withColumn("m", F.lit(overall))
-    level2 = domains.join(level1.select("suffix", _shrunk(_strength(level1)).alias("m")), "suffix")
-    level3 = hosts.join(level2.select("suffix", "domain", _shrunk(_strength(level2)).alias("m")), ["suffix", "domain"])
+    level2 = _prior(level1, domains, ["suffix"], _strength(level1))
+    level3 = _prior(level2, hosts, ["suffix", "domain"], _strength(level2))
     k = _strength(level3)
-    rate, size = _shrunk(k), F.col("n") + k
+    size = F.col("n") + k
+    rate = (F.col("bad") + k * F.col("m")) / size
     low = rate - z * F.sqrt(rate * (1 - rate) / (size + 1))
     return level3.select("host", "n", "bad", (F.round(low, 9) > bad_limit).alias("blocked"))
 
@@ -185,9 +189,9 @@ domains AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP
 suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL),
 l1 AS (SELECT suffix, n, bad, (SELECT coalesce(sum(bad) / nullif(sum(n), 0), 0.0) FROM suffixes) AS m FROM suffixes),
 k1 AS ({_sql_strength("l1")}),
-l2 AS (SELECT d.suffix, domain, d.n, d.bad, (l1.bad + k * m) / (l1.n + k) AS m FROM domains d JOIN l1 USING (suffix), k1),
+l2 AS (SELECT d.suffix, domain, d.n, d.bad, (l1.bad - d.bad + k * m) / (l1.n - d.n + k) AS m FROM domains d JOIN l1 USING (suffix), k1),
 k2 AS ({_sql_strength("l2")}),
-l3 AS (SELECT host, h.n, h.bad, (l2.bad + k * m) / (l2.n + k) AS m FROM hosts h JOIN l2 USING (suffix, domain), k2),
+l3 AS (SELECT host, h.n, h.bad, (l2.bad - h.bad + k * m) / (l2.n - h.n + k) AS m FROM hosts h JOIN l2 USING (suffix, domain), k2),
 k3 AS ({_sql_strength("l3")}),
 post AS (SELECT host, n, bad, (bad + k * m) / (n + k) AS p, n + k AS size FROM l3, k3)
 SELECT page_id, host, path, {_sql_rule(lambda v, h, p: h + p)} AS rule,
