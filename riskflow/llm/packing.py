@@ -157,19 +157,19 @@ def fit_counts(patterns: np.ndarray, have: np.ndarray) -> np.ndarray:
     return x * scale
 
 
-def _best_fill(left: np.ndarray, room: int) -> list[int]:
-    """Lengths that fill ``room`` as far as may be: one or two that fill it
-    exactly where there are such, else the longest that fits, and so on."""
+def _best_fill(left: np.ndarray, room: int, pairs: bool) -> list[int]:
+    """Lengths that fill ``room``: each time the longest that fits or, with
+    ``pairs``, two that fill it exactly where there are such."""
     out: list[int] = []
     while room > 0:
-        if left[room] > 0:
-            left[room] -= 1
-            return [*out, room]
-        low = np.flatnonzero(left[1:room]) + 1  # lengths below the room
+        low = np.flatnonzero(left[1 : room + 1]) + 1
         if not len(low):
             return out
-        pair = low[(left[room - low] > np.where(room - low == low, 1, 0))]
-        take = [int(pair[-1]), int(room - pair[-1])] if len(pair) else [int(low[-1])]
+        take = [int(low[-1])]
+        if pairs and low[-1] < room:
+            both = low[left[room - low] > (room - low == low)]
+            if len(both):
+                take = [int(both[-1]), int(room - both[-1])]
         for x in take:
             left[x] -= 1
             room -= x
@@ -177,16 +177,11 @@ def _best_fill(left: np.ndarray, room: int) -> list[int]:
     return out
 
 
-def plan(have: np.ndarray, capacity: int) -> dict[str, np.ndarray]:
-    """Blocks of equal places, for a histogram ``have`` (index: length).
-
-    A block gives the pieces of one ``length`` with ranks from ``rank`` on to
-    ``repeats`` sequences from ``sequence`` on, in turn, at ``offset`` and, where
-    a pattern holds the length several times, at multiples of the length after
-    it."""
+def _choose(have: np.ndarray, capacity: int, patterns: np.ndarray, pairs: bool) -> list[tuple[list[int], int]]:
+    """(lengths, repeats) that use up the histogram: the fitted patterns, then
+    best fit of the residuals."""
     left = have.astype(np.int64).copy()
     chosen: list[tuple[list[int], int]] = []
-    patterns = enumerate_patterns(have, capacity)
     for p, n in zip(patterns.tolist(), np.floor(fit_counts(patterns, have) + 1e-9).astype(np.int64).tolist()):
         lengths = [x for x in p if x]
         n = min([n, *(int(left[x]) // lengths.count(x) for x in set(lengths))])
@@ -198,11 +193,26 @@ def plan(have: np.ndarray, capacity: int) -> dict[str, np.ndarray]:
         big = int(np.flatnonzero(left)[-1])
         trial = left.copy()
         trial[big] -= 1
-        lengths = [big, *_best_fill(trial, capacity - big)]
+        lengths = [big, *_best_fill(trial, capacity - big, pairs)]
         n = min(int(left[x]) // lengths.count(x) for x in set(lengths))
         chosen.append((lengths, n))
         for x in lengths:
             left[x] -= n
+    return chosen
+
+
+def plan(have: np.ndarray, capacity: int) -> dict[str, np.ndarray]:
+    """Blocks of equal places, for a histogram ``have`` (index: length).
+
+    A block gives the pieces of one ``length`` with ranks from ``rank`` on to
+    ``repeats`` sequences from ``sequence`` on, in turn, at ``offset`` and, where
+    a pattern holds the length several times, at multiples of the length after
+    it.  Patterns of two lengths alone, and of up to three, are both fitted, each
+    with two ways to fill residuals; the plan with the fewest sequences stays."""
+    patterns = enumerate_patterns(have, capacity)
+    short = patterns[patterns[:, 2] == 0]
+    plans = [_choose(have, capacity, p, pairs) for p in (patterns, short) for pairs in (True, False)]
+    chosen = min(plans, key=lambda c: sum(n for _, n in c))
     rows, ranks, sequence = [], np.zeros(len(have), np.int64), 0
     for lengths, n in chosen:
         offset = 0

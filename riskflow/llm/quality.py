@@ -31,7 +31,7 @@ from .common import CACHE_ENTRIES, fresh, held_out
 BITS = 18
 ROWS_PER_CLASS = 6000
 SHARDS = 8
-EPOCHS = 4
+UPDATES, MOST_EPOCHS = 10_000, 60  # rounds over a shard's rows go on up to these
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 1e-4, 1e-4
 THRESHOLD = 0.3
 #: Characters of text whose words are held at once; longer texts go in pieces.
@@ -136,10 +136,10 @@ class FTRL:
         z, n = self.z[at], self.n[at]
         return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
-    def learn(self, at: np.ndarray, x: np.ndarray, y: int) -> None:
+    def learn(self, at: np.ndarray, x: np.ndarray, y: int, weight: float = 1.0) -> None:
         at, x = np.append(at, len(self.z) - 1), np.append(x, 1.0)
         w = self.weights(at)
-        g = (1 / (1 + math.exp(-max(-35.0, min(35.0, float(w @ x))))) - y) * x
+        g = (1 / (1 + math.exp(-max(-35.0, min(35.0, float(w @ x))))) - y) * weight * x
         n = self.n[at]
         self.z[at] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / ALPHA * w
         self.n[at] = n + g * g
@@ -149,9 +149,11 @@ def _train_shard(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values(["at", "y"], kind="stable")
     data = [(*features(t), int(y)) for t, y in zip(rows.text, rows.y)]
     model = FTRL(1 << BITS)
-    for _ in range(EPOCHS):
-        for example in data:
-            model.learn(*example)
+    size = rows.y.value_counts()
+    weight = {y: len(rows) / (len(size) * n) for y, n in size.items()}  # both classes count the same
+    for _ in range(min(MOST_EPOCHS, math.ceil(UPDATES / len(data)))):
+        for at, x, y in data:
+            model.learn(at, x, y, weight[y])
     return pd.DataFrame({"w": [model.weights().astype(np.float32).tobytes()]})
 
 
@@ -185,8 +187,7 @@ def train(
     rates = labels.where("quality in (0, 1)").groupBy("quality").count().collect()
     count = {r["quality"]: r["count"] for r in rates}
     bad, good = count.get(0, 0), count.get(1, 0)
-    used = [min(n, rows_per_class) + 1 for n in (bad, good)]
-    w[-1] += math.log((good + 1) / (bad + 1)) - math.log(used[1] / used[0])
+    w[-1] += math.log((good + 1) / (bad + 1))  # the shards saw balanced classes
     return w.astype(np.float32)
 
 
