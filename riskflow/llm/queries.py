@@ -32,17 +32,20 @@ def query(fn):
 
 @query
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from the labels that are not held out."""
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 @query
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprint and near-duplicate group of every document."""
     got = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return got.select("doc_id", simhash.hex_print(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 @query
 def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url: listed rules, else host reputation."""
     return url_reputation.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
@@ -51,6 +54,7 @@ ORACLES["op3_url_reputation"] = url_reputation.ORACLE
 
 @query
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again, as digests."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     shared = byte_bpe.encoder(spark, path, public_tokenizers.PATTERN)
     got = table(spark, sf_dir, "documents").select("doc_id", byte_bpe.round_trip(F.col("text"), shared).alias("got"))
@@ -64,17 +68,20 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of every embedding at cosine 0.98 within its label."""
     return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 @query
 def op6_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document packed into sequences of at most 4096 tokens."""
     shared = packing.word_ids(spark, public_tokenizers.path("word_bpe_49k.json"))
     return packing.pack(table(spark, sf_dir, "documents"), shared)
 
 
 @query
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count of every document."""
     shared = token_counts.counter(spark, public_tokenizers.path("byte_bpe_50k.json"))
     n_tokens = token_counts.count_tokens(F.col("text"), shared)
     return (
@@ -86,16 +93,19 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learned from those not held out."""
     return language.identify(table(spark, sf_dir, "documents"))
 
 
 @query
 def op9_hilbert_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest embeddings of every 20th one, among all."""
     return hilbert_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
 @query
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences named in every document."""
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
@@ -104,6 +114,7 @@ ORACLES["op10_license_scan"] = licenses.ORACLE
 
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four stages of ``corpus_pipeline`` over ``documents``."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
