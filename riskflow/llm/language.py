@@ -137,6 +137,11 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     ids = rows.groupBy("id").agg(F.min("lang").alias("lang"), F.max("lang").alias("last")).where("lang = last")
     by_lang = Window.partitionBy("lang").orderBy("at", "id")
     ids = ids.select("id", "lang", F.xxhash64("id").alias("at"))
+    # of a large language only hashes low enough for about twice the sample meet in its window
+    sizes = F.broadcast(ids.groupBy(F.col("lang").alias("of")).agg(F.count(F.lit(1)).alias("n")))  # one row a language
+    share = F.col("at") / F.lit(2.0**64) + 0.5
+    ids = ids.join(sizes, F.col("lang") == F.col("of")).where(share * F.col("n") < 2 * TRAIN_PER_LANGUAGE + 100)
+    ids = ids.select("id", "lang", "at")
     ids = ids.withColumn("n", F.row_number().over(by_lang)).where(F.col("n") <= TRAIN_PER_LANGUAGE).drop("n")
     # bounded by TRAIN_PER_LANGUAGE times the number of languages
     sample = rows.select("id", "text").join(F.broadcast(ids), "id").groupBy("id", "lang", "at").agg(F.min("text").alias("text"))
