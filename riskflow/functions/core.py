@@ -61,10 +61,6 @@ def label_array(summary: Column | str, label: str) -> Column:
     return F.coalesce(F.try_element_at(col(summary), F.lit(label)), empty_str_array())
 
 
-def round6(c: Column) -> Column:
-    return F.round(c.cast("double"), 6)
-
-
 def js_round(c: Column) -> Column:
     """JavaScript ``Math.round`` (halves go up)."""
     return F.floor(c + F.lit(0.5))

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab
+from ..session import staged
+from .explain import LinearModel
 
 FACTOR_TYPE = "array<struct<name:string,shap_value:double,direction:string>>"
 CASE_TYPE = "array<struct<policy_id:string,similarity_score:double,summary:string,outcome:string>>"
@@ -133,40 +135,72 @@ def judge_context(df: DataFrame, key: str = "submission_id") -> DataFrame:
                                    F.coalesce(F.col("underwriter_narrative"), F.lit(""))).alias("judge_context"))
 
 
-def assess(pages: DataFrame, cases: DataFrame, coefficients: dict[str, float], k: int = vocab.DEFAULT_TOP_K,
+def linear_scorer(probability: LinearModel, severity: LinearModel):
+    """Scores by two linear models: the logistic of the first margin, the second
+    margin as the amount; the factors are the first one's contributions."""
+
+    def run(feats: DataFrame, key: str) -> DataFrame:
+        rows = feats.select(key, probability.contributions().alias("shap_values"),
+                            severity.contributions().alias("_amount"))
+        return rows.select(
+            key, (1.0 / (1.0 + F.exp(-probability.margin(F.col("shap_values"))))).alias("raw_probability"),
+            severity.margin(F.col("_amount")).alias("raw_amount"), "shap_values",
+        )
+
+    return run
+
+
+def tree_scorer(probability_model, severity_model, explain_path: str):
+    """Scores by the two fitted boosted-tree pipelines, with tree attributions."""
+
+    def run(feats: DataFrame, key: str) -> DataFrame:
+        from .explain import collect_values
+        from .scoring import model_scores
+        from .tree_explain import explain_trees
+
+        values = collect_values(explain_trees(feats, probability_model.stages[-1], key, explain_path), key)
+        return model_scores(feats, probability_model, severity_model, key).join(values, key, "left")
+
+    return run
+
+
+def assess(pages: DataFrame, cases: DataFrame, scorer, k: int = vocab.DEFAULT_TOP_K,
            threshold: float = vocab.SEARCH_THRESHOLD, dim: int = 384, key: str = "doc_id",
-           narratives: DataFrame | None = None, approximate: dict | None = None) -> DataFrame:
-    """O-J5: pages -> entities -> summary -> features -> linear score, tier and
-    attributions -> hashed entity text -> top-k similar cases -> assessment
-    and quality checks, as one lazy plan.  ``cases``: case_id, policy_id,
-    summary, outcome, vector.  The summary table feeds two branches
-    (features and retrieval), so it is persisted once.  Exact search costs
-    |submissions| x |cases| dot products; for large case tables pass
-    ``approximate={"n_cells": ..., "nprobe": ...}`` to search inverted lists."""
+           submissions: DataFrame | None = None, narratives: DataFrame | None = None,
+           exact: bool = False, cells: dict | None = None) -> DataFrame:
+    """O-J5: pages -> entities -> summary -> features -> score, tier and factors
+    -> hashed entity text -> top-k similar cases -> assessment and quality
+    checks.  ``cases``: case_id, policy_id, summary, outcome, vector.
+
+    Every document of ``submissions`` (else of ``pages``) gets a row: one without
+    any entity scores the empty summary and searches the empty submission.
+    ``scorer`` (``linear_scorer``, ``tree_scorer``) carries its models' own terms,
+    so a document's row does not depend on the others.  Search visits inverted
+    lists (``cells``: its options); ``exact`` costs |submissions| x |cases| dot
+    products."""
+    from ..functions.text import entities_to_text
     from .entities import dedup_entities, extract_entities, summarize_entities
-    from .explain import collect_factors, explain_linear, top_factors
+    from .explain import factor_list, ranked_factors
     from .features import features
     from .quality import quality_checks
     from .scoring import score
-    from .vectors import hash_embed, similar_cases
-    from ..functions.text import entities_to_text
-
-    summ = summarize_entities(dedup_entities(extract_entities(pages, key, clean=True, offsets=False)), key).persist()
-    feats = features(summ.select(key, "entity_summary"), keep=[key])
-    contrib = explain_linear(feats, key, coefficients)
-    logit = contrib.groupBy(key).agg(F.sum("shap_value").alias("_z"))
-    probs = logit.select(key, (1.0 / (1.0 + F.exp(-F.col("_z")))).alias("raw_probability"),
-                         F.lit(0.0).alias("raw_amount"))
-    pred = score(probs).select(key, "risk_tier", "risk_probability", "predicted_claim_amount", "confidence_score")
-    fac = collect_factors(top_factors(contrib, key), key)
-    text = summ.select(key, entities_to_text("entity_summary").alias("_txt"))
-    qv = hash_embed(text, key, "_txt", dim)
-    if approximate is None:
+    from .vectors import hash_embed, similar_cases, similar_cases_ann
+
+    found = summarize_entities(dedup_entities(extract_entities(pages, key, clean=True, offsets=False)), key)
+    every = (pages if submissions is None else submissions).select(key).distinct()
+    empty = F.create_map().cast("map<string,array<string>>")
+    # two branches below (features and retrieval) start here: write it once
+    summ = staged(every.join(found.select(key, "entity_summary"), key, "left").select(
+        key, F.coalesce("entity_summary", empty).alias("entity_summary")), "summaries")
+    scored = score(scorer(features(summ, keep=[key]), key)).withColumn(
+        "key_risk_factors", factor_list(ranked_factors(F.col("shap_values"))))
+    pred = scored.select(key, "risk_tier", "risk_probability", "predicted_claim_amount", "confidence_score")
+    fac = scored.select(key, "key_risk_factors")
+    qv = hash_embed(summ.select(key, entities_to_text("entity_summary").alias("_txt")), key, "_txt", dim)
+    if exact:
         nb = similar_cases(qv, cases, k, threshold, query_key=key)
     else:
-        from .vectors import similar_cases_ann
-
-        nb = similar_cases_ann(qv, cases, k, threshold, query_key=key, **approximate)
+        nb = similar_cases_ann(qv, cases, k, threshold, query_key=key, **(cells or {}))
     meta = cases.select("case_id", "policy_id", "summary", "outcome")
     nbl = nb.join(meta, "case_id").groupBy(F.col("query_id").alias(key)).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "policy_id", "similarity_score", "summary",

@@ -153,10 +153,6 @@ def confusion(results: DataFrame) -> DataFrame:
     return results.groupBy("expected_tier", "predicted_tier").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
 
 
-def confusion_grid(results: DataFrame) -> DataFrame:
-    return results.groupBy("expected_tier").pivot("predicted_tier", vocab.TIERS).count().na.fill(0)
-
-
 def narrative_eval(results: DataFrame, narratives: DataFrame, key: str = "case_index") -> DataFrame:
     """O-Q19: the first HIGH/CRITICAL, first MODERATE and first LOW case (in
     case order) with narrative length, tier agreement and factor reference

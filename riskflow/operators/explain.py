@@ -1,76 +1,88 @@
 """O-M8..O-M13: attributions and their ranking.
 
-Attributions are kept in long form (one row per key and feature); ranking is
-a window partitioned by the key (28 rows per key, so partial
-``WindowGroupLimit`` + a bounded sort), never a sort of the whole table.
+The values of a key are one array in its row, in feature order: contributions,
+ranking and the top-5 list are expressions of that row.  Attributions that come
+in long form (tree models) are gathered into that array once per key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab
-from ..functions.core import map_literal
+from ..functions.core import explode_with_pos, pick
 
 
-def explain_linear(features_df: DataFrame, key: str, coefficients: Mapping[str, float],
-                   means: Mapping[str, float] | None = None,
-                   feature_names: list[str] = vocab.FEATURE_NAMES) -> DataFrame:
-    """O-M8: exact additive contributions of a linear model,
-    beta_j * (x_j - mean_j), long form (key, feature_index, feature, shap_value).
-
-    ``means`` defaults to the column means of ``features_df``: one global
-    aggregate whose single row (28 numbers) becomes literals, so the
-    contributions are one generator projection with no join.
-    """
-    if means is None:
-        row = features_df.agg(*[F.avg(F.col(n)).alias(n) for n in feature_names]).first()
-        means = {n: (row[n] if row[n] is not None else 0.0) for n in feature_names}
-    pieces = []
-    for i, n in enumerate(feature_names):
-        beta = float(coefficients.get(n, 0.0))
-        pieces.append(f"{i}, '{n}', CAST({beta!r} AS DOUBLE) * (CAST(`{n}` AS DOUBLE) - CAST({float(means[n])!r} AS DOUBLE))")
-    expr = f"stack({len(feature_names)}, {', '.join(pieces)}) AS (feature_index, feature, shap_value)"
-    return features_df.select(key, F.expr(expr)).withColumn("feature_index", F.col("feature_index").cast("int"))
-
-
-def linear_model_terms(lr_pipeline_model) -> dict[str, float]:
-    """Coefficients of a fitted ``LogisticRegression`` pipeline by feature name."""
-    lr = lr_pipeline_model.stages[-1]
-    return dict(zip(vocab.FEATURE_NAMES, map(float, lr.coefficients.toArray())))
-
-
-def top_factors(long_df: DataFrame, key: str, k: int = vocab.TOP_K_FACTORS, value: str = "shap_value",
-                min_abs: float = 1e-6) -> DataFrame:
-    """O-M10: per key the k largest |value| (ties: feature order), then values
-    with |v| < 1e-6 dropped; display name, direction, value rounded to 6.
-    Output (key, factor_pos, feature_index, name, shap_value, direction)."""
-    w = Window.partitionBy(key).orderBy(F.abs(F.col(value)).desc(), F.col("feature_index"))
-    top = long_df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
-    kept = top.where(F.abs(F.col(value)) >= min_abs)
-    w2 = Window.partitionBy(key).orderBy("_r")
-    name = F.coalesce(F.try_element_at(map_literal(vocab.FEATURE_DISPLAY_NAMES), F.col("feature")), F.col("feature"))
-    return kept.select(
-        key,
-        (F.row_number().over(w2) - 1).cast("int").alias("factor_pos"),
-        F.col("feature_index").cast("int").alias("feature_index"),
-        name.alias("name"),
-        F.round(F.col(value), 6).alias("shap_value"),
-        F.when(F.col(value) > 0, F.lit("increases_risk")).otherwise(F.lit("decreases_risk")).alias("direction"),
-    )
+@dataclass(frozen=True)
+class LinearModel:
+    """Terms of a fitted linear model: coefficient and training mean of each
+    feature, and the margin at the means.  They belong to the model, so a row
+    scores the same whatever rows are scored beside it."""
+
+    coefficients: Mapping[str, float]
+    means: Mapping[str, float]
+    intercept: float = 0.0
+
+    def contributions(self, feature_names: list[str] = vocab.FEATURE_NAMES) -> Column:
+        """ARRAY<DOUBLE> of beta_j * (x_j - mean_j), from the feature columns."""
+        return F.array(*[
+            F.lit(float(self.coefficients.get(n, 0.0))) * (F.col(n).cast("double") - F.lit(float(self.means[n])))
+            for n in feature_names
+        ])
 
+    def margin(self, contributions: Column) -> Column:
+        return F.lit(float(self.intercept)) + F.aggregate(contributions, F.lit(0.0), lambda a, v: a + v)
 
-def collect_factors(factors: DataFrame, key: str) -> DataFrame:
-    """Long factors -> (key, key_risk_factors ARRAY<STRUCT<name, shap_value, direction>>) in order."""
-    return factors.groupBy(key).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("factor_pos", "name", "shap_value", "direction"))),
-            lambda f: F.struct(f["name"].alias("name"), f["shap_value"].alias("shap_value"),
-                               f["direction"].alias("direction")),
-        ).alias("key_risk_factors")
+
+def explain_linear(features_df: DataFrame, key: str, model: LinearModel,
+                   feature_names: list[str] = vocab.FEATURE_NAMES) -> DataFrame:
+    """O-M8: exact additive contributions of a linear model, long form
+    (key, feature_index, feature, shap_value): one generator projection."""
+    long = explode_with_pos(features_df, [key], model.contributions(feature_names), "feature_index", "shap_value")
+    return long.select(key, F.col("feature_index").cast("int").alias("feature_index"),
+                       pick(feature_names, F.col("feature_index")).alias("feature"), "shap_value")
+
+
+def ranked_factors(values: Column, k: int = vocab.TOP_K_FACTORS, min_abs: float = 1e-6,
+                   feature_names: list[str] = vocab.FEATURE_NAMES) -> Column:
+    """O-M10 inside the row: of the values of all features, in feature order, the
+    k largest |value| (ties: feature order), then those with |v| < 1e-6 dropped,
+    as ARRAY<STRUCT<feature_index, name, shap_value, direction>>.  No explode, no
+    sort across rows, no shuffle."""
+    entries = F.transform(values, lambda v, i: F.struct((-F.abs(v)).alias("a"), i.alias("i"), v.alias("v")))
+    top = F.filter(F.slice(F.array_sort(entries), 1, k), lambda e: e["a"] <= -min_abs)
+    names = F.array(*[F.lit(vocab.FEATURE_DISPLAY_NAMES.get(n, n)) for n in feature_names])
+    return F.transform(top, lambda e: F.struct(
+        e["i"].cast("int").alias("feature_index"),
+        F.get(names, e["i"]).alias("name"),
+        F.round(e["v"], 6).alias("shap_value"),
+        F.when(e["v"] > 0, F.lit("increases_risk")).otherwise(F.lit("decreases_risk")).alias("direction"),
+    ))
+
+
+def factor_list(ranked: Column) -> Column:
+    """``ranked_factors`` as ARRAY<STRUCT<name, shap_value, direction>>."""
+    return F.transform(ranked, lambda f: F.struct(f["name"].alias("name"), f["shap_value"].alias("shap_value"),
+                                                  f["direction"].alias("direction")))
+
+
+def top_factors(df: DataFrame, key: str, values: str = "shap_values", k: int = vocab.TOP_K_FACTORS) -> DataFrame:
+    """O-M10, one row per listed factor: (key, factor_pos, feature_index, name,
+    shap_value, direction), from one array of values per key."""
+    rows = explode_with_pos(df, [key], ranked_factors(F.col(values), k), "factor_pos", "f")
+    return rows.select(key, F.col("factor_pos").cast("int").alias("factor_pos"), "f.*")
+
+
+def collect_values(long_df: DataFrame, key: str, value: str = "shap_value",
+                   n: int = len(vocab.FEATURE_NAMES)) -> DataFrame:
+    """Long attributions -> (key, shap_values ARRAY<DOUBLE> in feature order)."""
+    entries = F.map_from_entries(F.collect_list(F.struct("feature_index", value)))
+    return long_df.groupBy(key).agg(entries.alias("_m")).select(
+        key, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.try_element_at(F.col("_m"), i)).alias("shap_values")
     )
 
 
@@ -101,7 +113,3 @@ def factor_share(factors: DataFrame, key: str, value: str = "shap_value") -> Dat
     w = Window.partitionBy(key)
     mx = F.max(F.abs(F.col(value))).over(w)
     return factors.withColumn("share_pct", F.when(mx > 0, F.abs(F.col(value)) / mx * 100).otherwise(F.lit(0.0)))
-
-
-def direction_of(v: Column) -> Column:
-    return F.when(v > 0, F.lit("increases_risk")).otherwise(F.lit("decreases_risk"))

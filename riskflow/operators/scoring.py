@@ -53,14 +53,14 @@ def score(
 
 
 def model_scores(features_df: DataFrame, probability_model, severity_model, key: str) -> DataFrame:
-    """Run both fitted pipelines; returns (key, raw_probability, raw_amount)."""
+    """Run both fitted pipelines one after the other over the same rows; returns
+    (key, raw_probability, raw_amount)."""
     from pyspark.ml.functions import vector_to_array
 
-    p = probability_model.transform(features_df).select(
-        key, F.get(vector_to_array(F.col("probability")), 1).alias("raw_probability")
-    )
-    a = severity_model.transform(features_df).select(key, F.col("prediction").alias("raw_amount"))
-    return p.join(a, key)
+    rows = probability_model.transform(features_df).withColumn(
+        "raw_probability", F.get(vector_to_array(F.col("probability")), 1)
+    ).drop("features", "rawPrediction", "probability", "prediction")
+    return severity_model.transform(rows).select(key, "raw_probability", F.col("prediction").alias("raw_amount"))
 
 
 # ---------------------------------------------------------------------------

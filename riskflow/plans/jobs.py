@@ -43,22 +43,23 @@ def predict(summaries: DataFrame, probability_model, severity_model, key: str =
         from ..operators.tree_explain import explain_trees
 
         phi = explain_trees(feats, probability_model.stages[-1], key, explain_path)
-        out = out.join(ox.collect_factors(ox.top_factors(phi, key), key), key, "left")
+        values = ox.collect_values(phi, key)
+        out = out.join(values.select(key, ox.factor_list(ox.ranked_factors(F.col("shap_values"))).alias("key_risk_factors")), key, "left")
     return out
 
 
 def search(summaries: DataFrame, cases: DataFrame, k: int = vocab.DEFAULT_TOP_K,
            threshold: float = vocab.SEARCH_THRESHOLD, key: str = "submission_id", dim: int = 384,
-           approximate: dict | None = None) -> DataFrame:
-    """POST /search: O-T9 -> O-V1 -> O-V4 -> O-V7 -> O-V8; ``cases`` carries
-    case_id, policy_id, summary, outcome, vector.  ``approximate`` (e.g.
-    ``{"n_cells": 1000, "nprobe": 8}``) switches to inverted-list search."""
+           exact: bool = False, cells: dict | None = None) -> DataFrame:
+    """POST /search: O-T9 -> O-V1 -> O-V5 (or O-V4 when ``exact``) -> O-V7 ->
+    O-V8; ``cases`` carries case_id, policy_id, summary, outcome, vector.
+    ``cells``: options of the inverted-list search."""
     text = summaries.select(key, entities_to_text("entity_summary").alias("query_text"))
     qv = ov.hash_embed(text, key, "query_text", dim)
-    if approximate is None:
+    if exact:
         nb = ov.similar_cases(qv, cases, k, threshold, query_key=key)
     else:
-        nb = ov.similar_cases_ann(qv, cases, k, threshold, query_key=key, **approximate)
+        nb = ov.similar_cases_ann(qv, cases, k, threshold, query_key=key, **(cells or {}))
     meta = cases.select("case_id", "policy_id", "summary", "outcome")
     joined = ov.case_join(nb.withColumnRenamed("query_id", key), meta)
     total = cases.agg(F.count(F.lit(1))).first()[0]

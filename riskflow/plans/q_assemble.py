@@ -14,7 +14,11 @@ from ..operators import vectors as ov
 from ..functions.text import entities_to_text
 from . import sql_views as sv
 from . import views
-from .q_quality import LINEAR_BETA
+from .. import vocab
+from ..session import staged
+from .q_entities import _SUB_LABELS as SUB_LABELS
+from .q_entities import DEDUP_CTE, ENTITIES_CTE, LISTS_CTE, SUMMARY_LONG_CTE
+from .q_quality import LINEAR_BETA, LINEAR_MEANS, LINEAR_MODEL, SEVERITY_MODEL
 from .registry import register
 
 C = sv.with_ctes
@@ -26,7 +30,9 @@ def _analysis_parts(spark, sf_dir):
     pred = om_score.score(views.scored(spark, sf_dir)).where(k % 13 != 0).select(
         "submission_id", "risk_tier", "risk_probability", "predicted_claim_amount", "confidence_score"
     )
-    fac = ox.collect_factors(ox.top_factors(views.factors(spark, sf_dir), "submission_id"), "submission_id")
+    fac = views.factors(spark, sf_dir).select(
+        "submission_id", ox.factor_list(ox.ranked_factors(F.col("shap_values"))).alias("key_risk_factors")
+    )
     nb = views.neighbour_rows(spark, sf_dir).groupBy("submission_id").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("j", "policy_id", "similarity_score", "summary", "outcome"))),
@@ -178,19 +184,51 @@ def case_index(spark, sf_dir, dim: int = 384):
     return oc.claim_cases(c).join(vecs, "case_id")
 
 
-@register("end_to_end")
+_LINEAR_ROWS = ", ".join(
+    f"('{n}', {i}, {LINEAR_BETA[n]}, {LINEAR_MEANS[n]}, {SEVERITY_MODEL.coefficients[n]})" for i, n in enumerate(vocab.FEATURE_NAMES)
+)
+END_TO_END_SQL = C(sv.SUBMISSION_PAGES, ENTITIES_CTE, DEDUP_CTE, SUMMARY_LONG_CTE, LISTS_CTE, sv.NARRATIVES) + f""",
+feats AS (SELECT doc_id, {sv.features({lab: f"l_{lab.lower()}" for lab in SUB_LABELS}, "total")} FROM doc_lists),
+terms(feature, i, beta, mean, amount) AS (VALUES {_LINEAR_ROWS}),
+phi AS (SELECT doc_id, feature, i, beta * (value - mean) AS v, amount * (value - mean) AS a
+  FROM (UNPIVOT feats ON {", ".join(vocab.FEATURE_NAMES)} INTO NAME feature VALUE value) JOIN terms USING (feature)),
+sums AS (SELECT doc_id, 1 / (1 + exp(-({LINEAR_MODEL.intercept} + sum(v ORDER BY i)))) AS p,
+    {SEVERITY_MODEL.intercept} + sum(a ORDER BY i) AS amount, count(*) FILTER (WHERE abs(v) >= 1e-6) AS n FROM phi GROUP BY doc_id),
+top AS (SELECT doc_id, feature FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY abs(v) DESC, i) AS r FROM phi) WHERE r = 1)
+SELECT doc_id, CASE WHEN p < 0.25 THEN 'LOW' WHEN p < 0.5 THEN 'MODERATE' WHEN p < 0.75 THEN 'HIGH' ELSE 'CRITICAL' END AS risk_tier,
+  round(p, 4) AS risk_probability, round(greatest(amount, 0.0), 2) AS predicted_claim_amount, round(abs(p - 0.5) * 2.0, 4) AS confidence_score,
+  CAST(least(n, 5) AS BIGINT) AS n_factors, {sv.case_map(vocab.FEATURE_DISPLAY_NAMES, "feature", "feature")} AS top_factor,
+  true AS shap_grounded, CAST(length(coalesce(narrative, '')) AS BIGINT) AS narrative_chars
+FROM sums JOIN top USING (doc_id) LEFT JOIN narratives ON submission_id = doc_id"""
+
+
+def _assess(spark, sf_dir):
+    # the case index is an offline artefact used three times below (cell sizes,
+    # search, metadata): write it once
+    cases = staged(case_index(spark, sf_dir), "case-index")
+    nar = views.narratives(spark, sf_dir).select(F.col("submission_id").alias("doc_id"), F.col("narrative").alias("underwriter_narrative"))
+    return oa.assess(views.submission_pages(spark, sf_dir), cases, oa.linear_scorer(LINEAR_MODEL, SEVERITY_MODEL),
+                     key="doc_id", narratives=nar)
+
+
+@register("end_to_end", END_TO_END_SQL)
 def end_to_end(spark, sf_dir):
-    """O-J5: submission pages -> entities -> features -> linear score and
-    attributions -> neighbours from the claim case index -> assessment and
-    quality checks (one lazy plan; rows-only check, parts have oracles)."""
-    pages = views.submission_pages(spark, sf_dir)
-    # the case index is an offline artefact used three times below (block
-    # sizing, search, metadata): build it once
-    cases = case_index(spark, sf_dir).persist()
-    out = oa.assess(pages, cases, LINEAR_BETA, key="doc_id")
-    return out.select(
-        "doc_id", "risk_tier", "risk_probability", "confidence_score",
+    """O-J5: submission pages -> entities -> features -> fitted score, amount and
+    factors -> neighbours from the claim case index -> assessment and quality
+    checks; the columns that SQL can derive from the pages."""
+    return _assess(spark, sf_dir).select(
+        "doc_id", "risk_tier", "risk_probability", "predicted_claim_amount", "confidence_score",
         F.size("key_risk_factors").cast("bigint").alias("n_factors"),
-        F.size("similar_cases").cast("bigint").alias("n_similar"),
-        "shap_grounded", "rag_retrieved", "quality_score",
+        F.get("key_risk_factors", F.lit(0))["name"].alias("top_factor"), "shap_grounded",
+        F.length("underwriter_narrative").cast("bigint").alias("narrative_chars"),
+    )
+
+
+@register("end_to_end_search")
+def end_to_end_search(spark, sf_dir):
+    """O-J5, the retrieval side of the same assessments: cases found for every
+    document and the checks that need them (approximate search: rows only)."""
+    return _assess(spark, sf_dir).select(
+        "doc_id", F.size("similar_cases").cast("bigint").alias("n_similar"),
+        F.get("similar_cases", F.lit(0))["similarity_score"].alias("top_similarity"), "rag_retrieved", "quality_score",
     )

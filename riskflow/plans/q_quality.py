@@ -3,6 +3,8 @@ grounding checks over assessment records (O-Q1..O-Q11)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import vocab
@@ -11,6 +13,7 @@ from ..operators import claims as oc
 from ..operators import explain as ox
 from ..operators import features as of
 from ..operators import quality as oq
+from ..session import checkpoint_dir, staged
 from . import sql_views as sv
 from . import views
 from .registry import register
@@ -19,6 +22,10 @@ C = sv.with_ctes
 
 # Fixed coefficients of the linear stand-in model (ours): alternating signs.
 LINEAR_BETA = {name: (i + 1) / 100.0 * (-1) ** i for i, name in enumerate(vocab.FEATURE_NAMES)}
+# ... and its fixed training means and intercept.
+LINEAR_MEANS = {name: (i % 5) / 2.0 for i, name in enumerate(vocab.FEATURE_NAMES)}
+LINEAR_MODEL = ox.LinearModel(LINEAR_BETA, LINEAR_MEANS, -0.25)
+SEVERITY_MODEL = ox.LinearModel({n: 100.0 * (i % 4) for i, n in enumerate(vocab.FEATURE_NAMES)}, LINEAR_MEANS, 1500.0)
 
 
 def _claim_features(spark, sf_dir):
@@ -32,6 +39,7 @@ _FEATS = ("feats AS (SELECT case_id,\n  "
                         " + ".join(f"len({c})" for _, c in sv.CLAIM_LISTS_TRAIN_LABELS))
           + "\nFROM claim_lists)")
 _BETA_SQL = sv.case_map(LINEAR_BETA, "f.feature", "0.0")
+_MEAN_SQL = sv.case_map(LINEAR_MEANS, "f.feature", "0.0")
 _INDEX_SQL = sv.case_map({n: i for i, n in enumerate(vocab.FEATURE_NAMES)}, "f.feature")
 
 
@@ -39,12 +47,12 @@ _INDEX_SQL = sv.case_map({n: i for i, n in enumerate(vocab.FEATURE_NAMES)}, "f.f
     "linear_attribution",
     C(sv.CLAIMS, sv.CLAIM_LISTS_TRAIN, _FEATS, _UNPIVOT)
     + f"""SELECT f.case_id, CAST({_INDEX_SQL} AS INTEGER) AS feature_index, f.feature,
-  round({_BETA_SQL} * (f.value - m.mean), 6) + 0.0 AS shap_value
-FROM feats_long f JOIN (SELECT feature, avg(value) AS mean FROM feats_long GROUP BY feature) m USING (feature)""",
+  round({_BETA_SQL} * (f.value - {_MEAN_SQL}), 6) + 0.0 AS shap_value
+FROM feats_long f""",
 )
 def linear_attribution(spark, sf_dir):
-    """O-M8: beta_j * (x_j - mean_j) for every claim and feature."""
-    out = ox.explain_linear(_claim_features(spark, sf_dir), "case_id", LINEAR_BETA)
+    """O-M8: beta_j * (x_j - mean_j) for every claim and feature (means of the model)."""
+    out = ox.explain_linear(_claim_features(spark, sf_dir), "case_id", LINEAR_MODEL)
     return out.select("case_id", F.col("feature_index").cast("int"), "feature",
                       (F.round("shap_value", 6) + F.lit(0.0)).alias("shap_value"))
 
@@ -245,23 +253,50 @@ def judge_parse(spark, sf_dir):
     )
 
 
-@register("tree_attribution")
-def tree_attribution(spark, sf_dir):
-    """O-M2 + O-M9 + O-M10: a GBT claim-probability model trained on the
-    claims (small ensemble), path-dependent attributions for every claim,
-    top factors.  Iterative training: rows-only check; additivity and a
-    brute-force Shapley check are in tests/test_scoring.py."""
-    from ..operators import claims as oc2
+def _tree_model(spark, sf_dir):
+    """The published training: 200 rounds of depth 6 on the 80 % split."""
     from ..operators import scoring as om
-    from ..operators.tree_explain import explain_trees
-    from ..session import checkpoint_dir
 
     c = views.claims(spark, sf_dir)
-    # used by every boosting round and again for the attributions: build once
-    table = of.features(oc2.claim_entities(c, "train"), keep=["case_id"]).join(oc2.claim_targets(c), "case_id").persist()
-    model = om.fit_probability(table, max_iter=20, max_depth=4)
-    root = checkpoint_dir(spark, "/tmp/riskflow-checkpoints")
-    import uuid
-
-    phi = explain_trees(table, model.stages[-1], "case_id", f"{root}/gbt-{uuid.uuid4().hex[:12]}")
-    return ox.top_factors(phi, "case_id")
+    feats = of.features(oc.claim_entities(c, "train"), keep=["case_id"]).join(oc.claim_targets(c), "case_id")
+    # used by every boosting round and again for the attributions: write it once
+    rows = staged(om.train_test_split(feats, "case_id", 0.8, 42), "claim-features")
+    return rows, om.fit_probability(rows.where("is_train"))
+
+
+def _tree_values(spark, sf_dir):
+    from ..operators.tree_explain import explain_trees
+
+    rows, model = _tree_model(spark, sf_dir)
+    path = f"{checkpoint_dir(spark)}/gbt-{uuid.uuid4().hex[:12]}"
+    return rows, model, staged(explain_trees(rows, model.stages[-1], "case_id", path), "attributions")
+
+
+@register("tree_attribution")
+def tree_attribution(spark, sf_dir):
+    """O-M2 + O-M9 + O-M10: the GBT claim-probability model trained on the
+    claims' training split, path-dependent attributions for every claim, top
+    factors.  Iterative training; ``tree_attribution_check`` holds its sums
+    against the model, and a brute-force Shapley check is in tests."""
+    _, _, phi = _tree_values(spark, sf_dir)
+    return ox.top_factors(ox.collect_values(phi, "case_id"), "case_id")
+
+
+@register(
+    "tree_attribution_check",
+    f"""SELECT CAST(count(*) AS BIGINT) AS n_claims, CAST(count(*) * {len(vocab.FEATURE_NAMES)} AS BIGINT) AS n_values,
+  CAST(floor(count(*) * 0.8) AS BIGINT) AS n_train, CAST(0 AS BIGINT) AS n_not_additive FROM orders""",
+)
+def tree_attribution_check(spark, sf_dir):
+    """O-M9: rows of the attributions, training rows, and the claims whose
+    attributions and base do not add up to the model's own margin (1e-6)."""
+    from pyspark.ml.functions import vector_to_array
+
+    rows, model, phi = _tree_values(spark, sf_dir)
+    sums = phi.groupBy("case_id").agg((F.sum("shap_value") + F.first("base")).alias("s"), F.count(F.lit(1)).alias("n"))
+    margin = model.transform(rows).select("case_id", "is_train", (2 * F.get(vector_to_array("rawPrediction"), 1)).alias("m"))
+    off = F.coalesce(F.abs(F.col("s") - F.col("m")) > 1e-6, F.lit(True))
+    return margin.join(sums, "case_id", "left").agg(
+        F.count(F.lit(1)).alias("n_claims"), F.sum("n").alias("n_values"),
+        F.sum(F.col("is_train").cast("long")).alias("n_train"), F.sum(off.cast("long")).alias("n_not_additive"),
+    )

@@ -15,22 +15,25 @@ from .q_text import _CHUNK_SQL as CHUNK_SQL
 from .registry import register
 
 C = sv.with_ctes
-MAX_MB = 0.01       # 10,485 bytes: small enough that some raw pages exceed it
-MAX_PAGES = 40      # <p> blocks per page stand in for PDF pages
 MAGIC = b"<!DOC"
 
 
 def _page_uploads(spark, sf_dir):
+    """Raw pages as uploads with the published limits.  What a real upload can
+    be is derived from the page number: every 7th body lost its first letters,
+    every 11th has no pages, every 13th has 17 times its ``<p>`` blocks as pages,
+    every 17th is 26 MiB longer by its stated length, every 3rd is a .PDF."""
+    i = F.col("page_id")
+    path = F.concat(F.lit("page-"), i.cast("string"), F.when(i % 3 == 0, F.lit(".PDF")).otherwise(F.lit(".html")))
+    blocks = F.size(F.regexp_extract_all("html", F.lit("<p>"), 0)).cast("bigint")
+    body = F.when(i % 7 == 0, F.substring("html", 3, 1 << 30)).otherwise(F.col("html"))
     p = views.table(spark, sf_dir, "pages")
     files = p.select(
-        F.concat(F.lit("page-"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"),
-        F.encode("html", "UTF-8").alias("content"),
-        F.octet_length("html").cast("bigint").alias("length"),
-        "page_id",
+        path.alias("path"), F.encode(body, "UTF-8").alias("content"),
+        (F.octet_length(body) + F.when(i % 17 == 0, 26 * 1024 * 1024).otherwise(0)).cast("bigint").alias("length"), "page_id",
     )
     counts = p.select(
-        F.concat(F.lit("page-"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"),
-        F.size(F.regexp_extract_all("html", F.lit("<p>"), 0)).cast("bigint").alias("page_count"),
+        path.alias("path"), F.when(i % 11 == 0, F.lit(0)).when(i % 13 == 0, blocks * 17).otherwise(blocks).alias("page_count")
     )
     return files, counts
 
@@ -38,18 +41,21 @@ def _page_uploads(spark, sf_dir):
 @register(
     "upload_validate",
     """SELECT page_id, size_bytes, page_count,
-  CASE WHEN size_bytes > 10485 THEN printf('File exceeds 0.01MB limit (%.1fMB)', size_bytes / 1024.0 / 1024.0)
-       WHEN substr(html, 1, 5) <> '<!DOC' THEN 'File is not a valid PDF (bad magic bytes)'
+  CASE WHEN size_bytes > 26214400 THEN printf('File exceeds 25MB limit (%.1fMB)', size_bytes / 1024.0 / 1024.0)
+       WHEN substr(body, 1, 5) <> '<!DOC' THEN 'File is not a valid PDF (bad magic bytes)'
        WHEN page_count = 0 THEN 'PDF has no pages'
-       WHEN page_count > 40 THEN printf('PDF has %d pages (limit: 40)', page_count) END AS reject_reason,
-  false AS name_ok
-FROM (SELECT page_id, html, CAST(octet_length(encode(html)) AS BIGINT) AS size_bytes,
-        CAST(len(regexp_extract_all(html, '<p>', 0)) AS BIGINT) AS page_count FROM pages)""",
+       WHEN page_count > 200 THEN printf('PDF has %d pages (limit: 200)', page_count) END AS reject_reason,
+  page_id % 3 = 0 AS name_ok
+FROM (SELECT page_id, body,
+        CAST(octet_length(encode(body)) + CASE WHEN page_id % 17 = 0 THEN 27262976 ELSE 0 END AS BIGINT) AS size_bytes,
+        CASE WHEN page_id % 11 = 0 THEN 0 WHEN page_id % 13 = 0 THEN blocks * 17 ELSE blocks END AS page_count
+      FROM (SELECT page_id, CASE WHEN page_id % 7 = 0 THEN substr(html, 3) ELSE html END AS body,
+              CAST(len(regexp_extract_all(html, '<p>', 0)) AS BIGINT) AS blocks FROM pages))""",
 )
 def upload_validate(spark, sf_dir):
     """O-S2: size / magic / page-count validation of raw pages as uploads."""
     files, counts = _page_uploads(spark, sf_dir)
-    v = su.validate_uploads(files, counts, "path", MAX_MB, MAX_PAGES, MAGIC)
+    v = su.validate_uploads(files, counts, "path", magic=MAGIC)
     return v.select("page_id", "size_bytes", "page_count", "reject_reason", "name_ok")
 
 

@@ -63,28 +63,55 @@ def _knn(spark, sf_dir, k=5, threshold=0.3):
 
 @register("knn_exact", C(sv.QUERY_VECTORS, sv.CASE_VECTORS, KNN_SQL) + "SELECT * FROM knn")
 def knn_exact(spark, sf_dir):
-    """O-V4: top-5 cases per query vector by inner product, threshold 0.3."""
+    """O-V4: top-5 cases of every stored vector by inner product, threshold 0.3."""
     return _knn(spark, sf_dir).drop("score")
 
 
+def _knn_approx(spark, sf_dir):
+    return ov.similar_cases_ann(views.query_vectors(spark, sf_dir), views.case_vectors(spark, sf_dir), 5, 0.3)
+
+
 @register("knn_approx")
 def knn_approx(spark, sf_dir):
-    """O-V5: inverted-list search (KMeans cells, 4 probes) with exact rerank;
-    approximate, so no SQL oracle: recall against O-V4 is a property test."""
-    return ov.similar_cases_ann(views.query_vectors(spark, sf_dir), views.case_vectors(spark, sf_dir), 5, 0.3,
-                                n_cells=8, nprobe=4).drop("score")
+    """O-V5: inverted-list search (KMeans cells, probes by the cell count) with
+    exact rerank.  Approximate, so ``knn_approx_check`` holds it against SQL."""
+    return _knn_approx(spark, sf_dir).drop("score")
+
+
+RECALL_FLOOR = 0.9
+
+
+@register(
+    "knn_approx_check",
+    C(sv.QUERY_VECTORS, sv.CASE_VECTORS, KNN_SQL)
+    + """SELECT query_id, CAST(count(*) AS BIGINT) AS n_exact, max(similarity_score) AS best, true AS recall_reached FROM knn GROUP BY query_id""",
+)
+def knn_approx_check(spark, sf_dir):
+    """O-V5 against O-V4: per query the number of exact rows and the best score
+    that the approximate search found; whether its share of the exact rows
+    reaches RECALL_FLOOR over all queries."""
+    found = _knn_approx(spark, sf_dir)
+    exact = _knn(spark, sf_dir)
+    both = exact.select("query_id", "case_id").join(found.select("query_id", "case_id", F.lit(1).alias("hit")), ["query_id", "case_id"], "left")
+    recall = both.agg(F.avg(F.coalesce("hit", F.lit(0)))).first()[0]
+    counts = exact.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_exact"))
+    best = found.groupBy("query_id").agg(F.max("similarity_score").alias("best"))
+    return counts.join(best, "query_id", "left").select(
+        "query_id", "n_exact", "best", F.lit(recall is None or recall >= RECALL_FLOOR).alias("recall_reached")
+    )
 
 
 CASE_META_SQL = """case_meta AS (
-  SELECT vec_id AS case_id, printf('CASE-%05d', vec_id) AS policy_id, 'cluster ' || CAST(label AS VARCHAR) AS summary,
-    'label ' || CAST(label AS VARCHAR) AS outcome FROM embeddings WHERE vec_id >= 20)"""
+  SELECT vec_id AS case_id, CASE WHEN vec_id % 7 = 0 THEN printf('EDGAR-LABEL-%04d', vec_id) ELSE printf('CASE-%05d', vec_id) END AS policy_id,
+    'cluster ' || CAST(label AS VARCHAR) AS summary, 'label ' || CAST(label AS VARCHAR) AS outcome FROM embeddings)"""
 
 
 def _case_meta(spark, sf_dir):
     e = views.case_vectors(spark, sf_dir)
     return e.select(
         "case_id",
-        F.format_string("CASE-%05d", F.col("case_id")).alias("policy_id"),
+        F.when(F.col("case_id") % 7 == 0, F.format_string("EDGAR-LABEL-%04d", "case_id"))
+        .otherwise(F.format_string("CASE-%05d", "case_id")).alias("policy_id"),
         F.concat(F.lit("cluster "), F.col("label").cast("string")).alias("summary"),
         F.concat(F.lit("label "), F.col("label").cast("string")).alias("outcome"),
     )

@@ -102,10 +102,10 @@ REQUESTS = """requests AS (
   FROM events)"""
 
 QUERY_VECTORS = """query_vectors AS (
-  SELECT vec_id AS query_id, embedding AS vector, label FROM embeddings WHERE vec_id < 20)"""
+  SELECT vec_id AS query_id, embedding AS vector, label FROM embeddings)"""
 
 CASE_VECTORS = """case_vectors AS (
-  SELECT vec_id AS case_id, embedding AS vector, label FROM embeddings WHERE vec_id >= 20)"""
+  SELECT vec_id AS case_id, embedding AS vector, label FROM embeddings)"""
 
 
 def with_ctes(*ctes: str) -> str:

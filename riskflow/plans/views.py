@@ -35,23 +35,9 @@ AUTHORITY_VALUES = ["Police", "Fire", "Ambulance", "Other", "None"]
 FIXED_SIZE_TABLES = {"region": 5, "nation": 25}
 
 
-SPREAD_MIN_BYTES = 2 * 1024 * 1024
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table.  A scan of a few MB that lands in fewer splits than
-    the session's default parallelism (one small file) is spread round-robin
-    so the row-level work after it uses every core; tinier tables are not
-    worth the extra stage, and on a cluster a large table already has many
-    splits, so there this is a no-op."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name in FIXED_SIZE_TABLES:
-        return df
-    cores = spark.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) >= SPREAD_MIN_BYTES and df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores)
-    return df
+    """One driver table, as the scan splits it."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,22 +146,16 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long-form attribution values: 28 rows per submission, some exactly 0 and
-    some below 1e-6 (a generator explode per row; no join)."""
+    """Attribution values of each submission, 28 in feature order, some exactly
+    0 and some below 1e-6."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("submission_id"))
-    j = F.col("feature_index")
     k = F.col("submission_id")
-    base = ((k * 31 + j * 17) % 41 - 20).cast("double") / 10.0
-    value = F.when((k + j) % 13 == 0, base * 1e-7).otherwise(base)
-    return (
-        o.select("submission_id", F.explode(F.sequence(F.lit(0), F.lit(27))).alias("feature_index"))
-        .select(
-            "submission_id",
-            "feature_index",
-            pick(vocab.FEATURE_NAMES, j).alias("feature"),
-            value.alias("shap_value"),
-        )
-    )
+
+    def value(j):
+        base = ((k * 31 + j * 17) % 41 - 20).cast("double") / 10.0
+        return F.when((k + j) % 13 == 0, base * 1e-7).otherwise(base)
+
+    return o.select("submission_id", F.transform(F.sequence(F.lit(0), F.lit(27)), value).alias("shap_values"))
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,18 +184,16 @@ def requests_from(events: DataFrame) -> DataFrame:
 
 
 def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        table(spark, sf_dir, "embeddings")
-        .where(F.col("vec_id") < 20)
-        .select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), "label")
+    """Every stored vector as a query."""
+    return table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), "label"
     )
 
 
 def case_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        table(spark, sf_dir, "embeddings")
-        .where(F.col("vec_id") >= 20)
-        .select(F.col("vec_id").alias("case_id"), F.col("embedding").alias("vector"), "label")
+    """Every stored vector as a case (a query finds itself first)."""
+    return table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("case_id"), F.col("embedding").alias("vector"), "label"
     )
 
 
@@ -286,21 +264,20 @@ def analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     prediction (``scored``), ranked factors (``factors``, a few names made
     wrong), neighbours, narrative and the claim's entity summary."""
     from ..operators.claims import claim_entities
-    from ..operators.explain import collect_factors, top_factors
+    from ..operators.explain import factor_list, ranked_factors
     from ..operators.scoring import score
 
     s = score(scored(spark, sf_dir)).select(
         "submission_id", "risk_tier", "risk_probability", "predicted_claim_amount", "confidence_score",
         "incident_severity",
     )
-    tf = top_factors(factors(spark, sf_dir), "submission_id")
-    pos = F.col("submission_id") + F.col("feature_index")
-    tf = tf.withColumn(
+    pos = lambda f: F.col("submission_id") + f["feature_index"]
+    renamed = F.transform(ranked_factors(F.col("shap_values")), lambda f: f.withField(
         "name",
-        F.when(pos % 29 == 0, F.lit(SHORT_FACTOR_NAME)).when(pos % 31 == 0, F.lit(BAD_FACTOR_NAME))
-        .otherwise(F.col("name")),
-    )
-    fac = collect_factors(tf, "submission_id")
+        F.when(pos(f) % 29 == 0, F.lit(SHORT_FACTOR_NAME)).when(pos(f) % 31 == 0, F.lit(BAD_FACTOR_NAME))
+        .otherwise(f["name"]),
+    ))
+    fac = factors(spark, sf_dir).select("submission_id", factor_list(renamed).alias("key_risk_factors"))
     nb = neighbour_rows(spark, sf_dir).groupBy("submission_id").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("j", "policy_id", "similarity_score", "summary", "outcome"))),

@@ -9,8 +9,9 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings a cluster job should run with.  AQE re-plans joins from runtime
 # sizes, coalesces small shuffle partitions and splits skewed ones.
@@ -49,3 +50,13 @@ def checkpoint_dir(spark: SparkSession, default: str | None = None) -> str:
     spark.conf.set("spark.checkpoint.dir", default)
     spark.sparkContext.setCheckpointDir(default)
     return default
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared checkpoint folder and read back: for a
+    table that several branches of a job use.  Unlike a cached table it needs no
+    release and survives lost executors."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

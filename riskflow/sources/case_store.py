@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 CASE_SCHEMA = ("case_id bigint, policy_id string, summary string, outcome string, risk_tier string, "
@@ -14,9 +15,9 @@ def write_cases(cases: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
     """The stored cases; a store that does not exist reads as an empty table."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(conf).exists(p):
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], CASE_SCHEMA)
-    return spark.read.parquet(path)

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Column names of the claim CSV that are not valid identifiers.
 RENAMES = {"capital-gains": "capital_gains", "capital-loss": "capital_loss"}
@@ -15,8 +14,9 @@ def read_claims(spark: SparkSession, path: str, key: str | None = None) -> DataF
     operators parse what they need, ``?`` and '' mean missing).
 
     ``case_id`` is the ``key`` column when given, else the row's position in
-    the input (file order, then line order) from ``zipWithIndex``, which
-    counts partition sizes in one pass and numbers rows without a shuffle.
+    the input (file order, then line order).  ``monotonically_increasing_id``
+    numbers the rows inside each scan partition; adding the sizes of the
+    partitions before (one number per partition) makes that dense.
     """
     df = spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE").csv(path)
     for old, new in RENAMES.items():
@@ -24,8 +24,13 @@ def read_claims(spark: SparkSession, path: str, key: str | None = None) -> DataF
             df = df.withColumnRenamed(old, new)
     if key is not None:
         return df.withColumn("case_id", F.col(key))
-    schema = T.StructType(df.schema.fields + [T.StructField("case_id", T.LongType(), False)])
-    return spark.createDataFrame(df.rdd.zipWithIndex().map(lambda ri: (*ri[0], ri[1])), schema)
+    local = df.withColumn("_mono", F.monotonically_increasing_id())
+    part, at = F.shiftright("_mono", 33), F.col("_mono").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = local.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_start"))
+    numbered = local.withColumn("_part", part).join(starts, "_part")
+    return numbered.withColumn("case_id", F.col("_start") + at).drop("_mono", "_part", "_start")
 
 
 def write_claims(df: DataFrame, path: str) -> None:

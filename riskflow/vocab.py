@@ -82,9 +82,6 @@ GAZETTEER = (
 # FIXED VALUES: token pattern of a policy number ("PLY-2024-00892").
 POLICY_NUMBER_REGEX = r"[A-Z]{2,4}-\d{4}-\d{3,6}"
 
-# Stand-in patterns for the statistical model's MONEY entities (our own rule,
-# covering "$50,000", "$1.5 million", "$2 billion", "$50k", "$1.5M").
-MONEY_REGEX = r"\$\d[\d,]*(?:\.\d+)?(?:\s?(?:million|billion)|[kKmM]\b)?"
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES: the 28 model features, in model column order, and their
@@ -209,7 +206,6 @@ PDF_MAGIC = "%PDF-"
 # FIXED VALUES: similarity search.
 DEFAULT_TOP_K = 5
 SEARCH_THRESHOLD = 0.3
-EVAL_THRESHOLD = 0.0
 FILING_CASE_ID_OFFSET = 10000
 
 # FIXED VALUES: latency histogram bucket edges (upper bounds, +Inf last).
@@ -218,9 +214,3 @@ SIMILARITY_BUCKETS = [0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 1.0, float("inf
 # FIXED VALUES: narrative fallbacks and messages.
 EMPTY_NARRATIVE = "No narrative generated."
 EMPTY_SUBMISSION_TEXT = "empty submission"
-UPLOAD_MESSAGES = {
-    "too_large": "File exceeds maximum size of {mb} MB",
-    "not_pdf": "File is not a valid PDF",
-    "no_pages": "PDF has no pages",
-    "too_many_pages": "PDF exceeds maximum of {pages} pages",
-}

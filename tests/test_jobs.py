@@ -37,6 +37,29 @@ def test_train_predict_search_evaluate(spark, tmp_dir):
     assert c2.count() == claims.where(F.col("case_id").isin(1, 2, 3)).count()
 
 
+def test_assessment_does_not_depend_on_the_batch(spark):
+    from riskflow.operators import assemble as oa
+    from riskflow.plans.q_quality import LINEAR_MODEL, SEVERITY_MODEL
+
+    pages = spark.createDataFrame(
+        [(1, 0, "Loss history: fire and flood. Premium amount is $5,000."), (2, 0, "Nothing of note here."),
+         (3, 0, "Coverage requested: general liability, limit $2 million."), (4, 0, "")],
+        "doc_id long, page_number int, text string")
+    cases = jobs.build_case_index(views.claims(spark, SF_SMALL), dim=32)
+    scorer = oa.linear_scorer(LINEAR_MODEL, SEVERITY_MODEL)
+    cols = ["risk_tier", "risk_probability", "predicted_claim_amount", "n"]
+
+    def rows(df):
+        out = oa.assess(df, cases, scorer, dim=32, exact=True, submissions=df)
+        return {r["doc_id"]: [r[c] for c in cols] for r in out.withColumn("n", F.size("similar_cases")).collect()}
+
+    together = rows(pages)
+    assert set(together) == {1, 2, 3, 4}  # documents without an entity stay
+    assert together[2] == together[4] and together[1] != together[2]
+    for i in (1, 2):
+        assert rows(pages.where(f"doc_id = {i}"))[i] == together[i]
+
+
 def test_index_filings_appends_after_claims(spark):
     claims = views.claims(spark, SF_SMALL)
     cases = jobs.build_case_index(claims, dim=32)

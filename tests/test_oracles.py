@@ -4,12 +4,13 @@
 import pytest
 
 import __spark_entry__ as E
+from riskflow.plans import registry
 from tools.check_oracles import compare, duck
 
 from .conftest import SF_SMALL
 
-QUERIES = E.queries()
-ORACLES = E.oracle_sql()
+registry.load_all()
+QUERIES, ORACLES = registry.QUERIES, registry.ORACLES  # the library's own; tests/llm has the others
 
 
 @pytest.fixture(scope="module")
@@ -36,6 +37,10 @@ def test_entry_smoke(spark):
     assert rows and set(df.columns) == {"risk_tier", "n", "mean_amount", "mean_probability"}
 
 
+def test_entry_registers_every_query():
+    assert set(QUERIES) <= set(E.queries()) and set(ORACLES) <= set(E.oracle_sql())
+
+
 def test_every_query_has_a_docstring():
     for name, fn in QUERIES.items():
         assert fn.__doc__, name

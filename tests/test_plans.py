@@ -2,11 +2,12 @@
 
 import pytest
 
-import __spark_entry__ as E
+from riskflow.plans import registry
 
 from .conftest import SF_SMALL
 
-QUERIES = E.queries()
+registry.load_all()
+QUERIES = registry.QUERIES
 NATIVE_ONLY = ["features_claims", "quality_checks", "request_rate", "error_rate", "latency_p99", "entities",
                "entity_summary", "top_factors", "chunk_text", "evaluate_cases", "assemble_analysis"]
 
@@ -31,7 +32,7 @@ def test_no_python_in_native_plans(spark, name):
 def test_pushdown_and_pruning(spark):
     from riskflow.plans import views
 
-    plan = _plan(views.query_vectors(spark, SF_SMALL))
+    plan = _plan(views.table(spark, SF_SMALL, "embeddings").where("vec_id < 20"))
     assert "PushedFilters: [IsNotNull(vec_id), LessThan(vec_id,20)]" in plan
     plan = _plan(QUERIES["score"](spark, SF_SMALL))
     # only the three columns the score needs are read (priority is pruned away)
@@ -43,6 +44,11 @@ def test_nation_is_broadcast(spark):
     assert "BroadcastHashJoin" in plan
 
 
-def test_top_k_uses_group_limit(spark):
+def test_top_factors_stay_in_the_row(spark):
     plan = _plan(QUERIES["top_factors"](spark, SF_SMALL))
+    assert "Exchange" not in plan and "Window" not in plan
+
+
+def test_top_k_uses_group_limit(spark):
+    plan = _plan(QUERIES["stratified_sample"](spark, SF_SMALL))
     assert "WindowGroupLimit" in plan
