@@ -27,10 +27,14 @@ def escape(phrase: str) -> str:
     return "".join("\\" + ch if ch in _SPECIAL else ch for ch in phrase)
 
 
+MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October",
+          "November", "December"]
+
 # (label, regex) pattern rules, in priority order after the phrases.
 DEFAULT_RULES = [
     ("POLICY_NUMBER", r"\b" + vocab.POLICY_NUMBER_REGEX + r"\b"),
     ("MONEY", r"\$\d+(?:,\d{3})*(?:\.\d+)?(?: (?:million|billion)|[kKmM]\b)?"),
+    ("DATE", r"\b(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|(?:" + "|".join(MONTHS) + r") \d{1,2}, \d{4})\b"),
 ]
 
 

@@ -156,25 +156,31 @@ def load_models(path: str):
 # ---------------------------------------------------------------------------
 
 
+AUC_BUCKETS = 1024
+
+
 def roc_auc(df: DataFrame, score_col: str = "score", label_col: str = "label") -> DataFrame:
     """Exact ROC AUC by the rank-sum rule with average ranks for ties.
 
     Scores are first reduced to distinct values (partial aggregation), then
-    given global ranks through a two-level prefix sum: 2^20 coarse buckets
-    (a bounded table) and a running sum inside each bucket.  No step holds
-    all rows in one task.
+    given global ranks through a two-level prefix sum: ``AUC_BUCKETS`` coarse
+    buckets cut at quantiles of the distinct scores, so clustered scores spread
+    over all of them, and a running sum inside each bucket.  No step holds all
+    rows in one task.
     """
+    import math
+
+    from pyspark.ml.feature import Bucketizer
+
     s = F.col(score_col).cast("double")
     y = F.col(label_col).cast("double")
     per_score = df.groupBy(s.alias("s")).agg(
         F.sum(y).alias("pos"), F.count(F.lit(1)).alias("cnt")
     )
-    bounds = per_score.agg(F.min("s").alias("lo"), F.max("s").alias("hi")).first()
-    lo, hi = (bounds["lo"], bounds["hi"]) if bounds and bounds["lo"] is not None else (0.0, 0.0)
-    width = (hi - lo) or 1.0
-    nb = 1 << 20
-    bucket = F.least(F.floor((F.col("s") - F.lit(lo)) / F.lit(width) * nb), F.lit(nb - 1)).cast("bigint")
-    per_score = per_score.withColumn("cb", bucket)
+    steps = [i / AUC_BUCKETS for i in range(1, AUC_BUCKETS)]
+    cuts = per_score.agg(F.percentile_approx("s", steps, 10 * AUC_BUCKETS)).first()[0] or []
+    splits = [-math.inf, *sorted(set(cuts)), math.inf]  # at most AUC_BUCKETS numbers
+    per_score = Bucketizer(splits=splits, inputCol="s", outputCol="cb").transform(per_score)
     bucket_tot = per_score.groupBy("cb").agg(F.sum("cnt").alias("bcnt"))
     offsets = bucket_tot.withColumn(
         "before", F.sum("bcnt").over(Window.orderBy("cb").rowsBetween(Window.unboundedPreceding, -1))

@@ -56,14 +56,14 @@ def chunk_text(df: DataFrame, key: str, text: str = "text", min_len: int = 200,
     """O-T6: (key, chunk_no, chunk).  Paragraphs of at most ``max_len`` chars
     stay whole; longer ones are packed sentence by sentence (a chunk is
     flushed when adding the next sentence would pass ``max_len`` and it
-    already has ``min_len`` chars; a short tail is dropped)."""
-    paras = paragraphs(df, key, text, PARAGRAPH_SPLIT, min_len)
-    packed = F.when(F.length("paragraph") <= max_len, F.array(F.col("paragraph"))).otherwise(
-        _pack(sentences(F.col("paragraph")), min_len, max_len)
-    )
-    pieces = explode_with_pos(paras, [key, "paragraph_no"], packed, "piece_no", "chunk")
-    w = Window.partitionBy(key).orderBy("paragraph_no", "piece_no")
-    return pieces.select(key, (F.row_number().over(w) - 1).cast("int").alias("chunk_no"), "chunk")
+    already has ``min_len`` chars; a short tail is dropped).  The pieces and
+    their numbers come from the document's row: nothing is shuffled."""
+    paras = F.filter(F.transform(F.split(F.col(text), PARAGRAPH_SPLIT, -1), lambda p: strip(p)),
+                     lambda p: F.length(p) >= min_len)
+    packed = F.flatten(F.transform(paras, lambda p: F.when(F.length(p) <= max_len, F.array(p)).otherwise(
+        _pack(sentences(p), min_len, max_len))))
+    return explode_with_pos(df, [key], packed, "chunk_no", "chunk").select(
+        key, F.col("chunk_no").cast("int").alias("chunk_no"), "chunk")
 
 
 def chunk_cases(chunks: DataFrame, company: str = "company", order: str = "doc_id",

@@ -110,8 +110,13 @@ def stage_trace(spark, sf_dir):
 
 
 def _audit(spark, sf_dir):
-    a = _assembled(spark, sf_dir).withColumn("processing_time_ms", (F.col("submission_id") % 50).cast("double") + 9.1)
     k = F.col("submission_id")
+    found = F.struct((k % 4 == 0).alias("detected"), F.lit(1).alias("count"), F.array(F.lit("flag")).alias("flags"),
+                     ((k % 10).cast("double") / 10.0).alias("confidence"))
+    subs, pred, fac, nb, nar = _analysis_parts(spark, sf_dir)
+    checks = subs.where(k % 3 != 0).select("submission_id", found.alias("hallucination_check"))  # the rest unjudged
+    a = oa.assemble_analysis(subs, pred, fac, nb, nar, checks, "submission_id").withColumn(
+        "processing_time_ms", (k % 50).cast("double") + 9.1)
     return oa.audit_events(
         a,
         F.when(k % 2 == 0, F.lit("hosted")).otherwise(F.lit("local")),
@@ -124,8 +129,8 @@ AUDIT_SQL = ASSEMBLE_SQL + """, audit AS (
   SELECT '2024-01-01T00:00:00+00:00' AS timestamp, 'req-' || CAST(a.submission_id AS VARCHAR) AS request_id,
     CAST(a.submission_id AS VARCHAR) AS submission_id, a.risk_tier, a.risk_probability, a.predicted_claim_amount,
     a.confidence_score, CAST(a.submission_id % 50 AS DOUBLE) + 9.1 AS processing_time_ms,
-    CAST(a.n_similar AS INTEGER) AS similar_cases_count, CAST(NULL AS BOOLEAN) AS hallucination_detected,
-    CAST(NULL AS DOUBLE) AS hallucination_confidence,
+    CAST(a.n_similar AS INTEGER) AS similar_cases_count, CASE WHEN a.submission_id % 3 <> 0 THEN a.submission_id % 4 = 0 END AS hallucination_detected,
+    CASE WHEN a.submission_id % 3 <> 0 THEN CAST(a.submission_id % 10 AS DOUBLE) / 10.0 END AS hallucination_confidence,
     CASE WHEN a.submission_id % 2 = 0 THEN 'hosted' ELSE 'local' END AS provider
   FROM assembled a)"""
 
@@ -170,6 +175,56 @@ def narrative_context(spark, sf_dir):
     return oa.narrative_context(a.join(ft, "submission_id", "left"), "submission_id")
 
 
+_PARTS_SQL = """, facts AS (
+  SELECT s.submission_id, s.risk_tier, s.risk_probability, coalesce(f.n, 0) AS n_factors, coalesce(nb.n, 0) AS n_similar
+  FROM score_out s
+  LEFT JOIN (SELECT submission_id, CAST(count(*) AS BIGINT) AS n FROM top_factors GROUP BY 1) f USING (submission_id)
+  LEFT JOIN (SELECT submission_id, CAST(count(*) AS BIGINT) AS n FROM neighbours GROUP BY 1) nb USING (submission_id))"""
+_ANALYSIS_CTES = (sv.CLAIMS, sv.CLAIM_CASES, sv.SCORED, sv.SCORE_OUT, sv.FACTORS, sv.TOP_FACTORS, sv.NEIGHBOURS)
+
+
+def _json_facts(j, factors, cases):
+    """The fields of a context's JSON that SQL can derive."""
+    return [
+        F.get_json_object(j, "$.risk_tier").alias("risk_tier"),
+        F.get_json_object(j, "$.risk_probability").cast("double").alias("risk_probability"),
+        F.coalesce(F.json_array_length(F.get_json_object(j, f"$.{factors}")), F.lit(0)).cast("bigint").alias("n_factors"),
+        F.coalesce(F.json_array_length(cases), F.lit(0)).cast("bigint").alias("n_similar"),
+    ]
+
+
+@register(
+    "narrative_context_check",
+    C(*_ANALYSIS_CTES, sv.SUBMISSION_PAGES) + _PARTS_SQL + """, ft AS (SELECT doc_id,
+    string_agg(text, chr(10) || chr(10) ORDER BY page_number) AS t FROM submission_pages GROUP BY doc_id)
+SELECT facts.*, coalesce(substring(t, 1, 2000), '') AS excerpt FROM facts LEFT JOIN ft ON doc_id = submission_id""",
+)
+def narrative_context_check(spark, sf_dir):
+    """O-T13, read back from the context text: the excerpt and the JSON fields."""
+    c = F.col("context")
+    pred = F.regexp_extract(c, r"(?s)\n\nPrediction: (\{.*\})\n\nSimilar cases: ", 1)
+    cases = F.regexp_extract(c, r"(?s)\n\nSimilar cases: (\[.*\])$", 1)
+    excerpt = F.regexp_extract(c, r"(?s)^Entities: \{.*?\}\n\nDocument excerpt:\n(.*)\n\nPrediction: ", 1)
+    return narrative_context(spark, sf_dir).select(
+        "submission_id", *_json_facts(pred, "key_risk_factors", cases), excerpt.alias("excerpt")
+    )
+
+
+@register(
+    "judge_context_check",
+    C(*_ANALYSIS_CTES, sv.NARRATIVES) + _PARTS_SQL
+    + "SELECT facts.*, coalesce(narrative, '') AS narrative FROM facts LEFT JOIN narratives USING (submission_id)",
+)
+def judge_context_check(spark, sf_dir):
+    """O-T14, read back from the context text: the narrative and the JSON fields."""
+    c = F.col("judge_context")
+    facts = F.regexp_extract(c, r"(?s)^Source data: (\{.*?\})\n\nNarrative:\n", 1)
+    return judge_context(spark, sf_dir).select(
+        "submission_id", *_json_facts(facts, "risk_factors", F.get_json_object(facts, "$.similar_cases")),
+        F.regexp_extract(c, r"(?s)\n\nNarrative:\n(.*)$", 1).alias("narrative"),
+    )
+
+
 @register("judge_context")
 def judge_context(spark, sf_dir):
     """O-T14: auditor input per assessment (JSON text)."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..operators import evaluate as oe
 from ..operators import quality as oq
+from ..operators.scoring import score
 from . import sql_views as sv
 from . import views
 from .registry import register
@@ -52,8 +53,16 @@ def _evaluate(spark, sf_dir, cases=None):
     c = views.claims(spark, sf_dir).select(
         "case_id", "incident_type", "incident_severity", "fraud_reported", "total_claim_amount"
     ) if cases is None else cases
-    p = _predictions(spark, sf_dir)
-    return oe.evaluate_cases(c, p, p)
+    return oe.evaluate_cases(c, _predictions(spark, sf_dir), _second_scoring(spark, sf_dir))
+
+
+def _second_scoring(spark, sf_dir):
+    """The same submissions scored again; every 10th probability comes out 0.01
+    higher, so the consistency check has something to find."""
+    shifted = views.scored(spark, sf_dir).withColumn(
+        "raw_probability", F.col("raw_probability") + F.when(F.col("submission_id") % 10 == 0, 0.01).otherwise(0.0)
+    )
+    return score(shifted).select(F.col("submission_id").alias("case_id"), "risk_probability", "predicted_claim_amount")
 
 
 _TIER_RANK = lambda x: sv.case_map(vocab.TIER_ORDER, x, "-1")
@@ -76,16 +85,17 @@ ev AS (
     coalesce(nb.top_sim, 0.0) AS rag_top_similarity,
     coalesce(len(list_filter(nb.summaries, lambda x: contains(x, lower(coalesce(c.incident_type, ''))))) > 0, false) AS rag_type_match,
     (CAST(c.case_id % 50 AS DOUBLE) + 9.1) AS processing_time_ms,
-    coalesce(bf.n_bad, 0) = 0 AS shap_grounded
-  FROM cases_in c LEFT JOIN score_out s ON s.submission_id = c.case_id
+    coalesce(bf.n_bad, 0) = 0 AS shap_grounded,
+    coalesce(round(z.raw_probability + CASE WHEN c.case_id % 10 = 0 THEN 0.01 ELSE 0.0 END, 4), -1.0) = coalesce(s.risk_probability, 0.0)
+      AND coalesce(round(greatest(z.raw_amount, 0.0), 2), -1.0) = coalesce(s.predicted_claim_amount, 0.0) AS consistency_passed
+  FROM cases_in c LEFT JOIN scored z ON z.submission_id = c.case_id LEFT JOIN score_out s ON s.submission_id = c.case_id
   LEFT JOIN nb ON nb.submission_id = c.case_id LEFT JOIN bad_f bf ON bf.submission_id = c.case_id),
 ev2 AS (
   SELECT *, predicted_tier = expected_tier AS tier_match,
     abs({_TIER_RANK('expected_tier')} - {_TIER_RANK('predicted_tier')}) <= 1 AS tier_adjacent,
     CASE WHEN predicted_claim_amount <= 0 THEN false WHEN actual_claim_amount <= 0 THEN predicted_claim_amount > 0
          ELSE predicted_claim_amount / actual_claim_amount >= 0.05 AND predicted_claim_amount / actual_claim_amount <= 20.0 END
-      AS claim_reasonable,
-    true AS consistency_passed
+      AS claim_reasonable
   FROM ev),
 results AS (
   SELECT *, CASE WHEN tier_match THEN 'PASS' WHEN tier_adjacent THEN '~' ELSE 'FAIL' END AS status FROM ev2)"""
@@ -164,12 +174,12 @@ def eval_display(spark, sf_dir):
     "narrative_eval",
     C(*_BASE_CTES, ALL_CASES, sv.NARRATIVES) + EVAL_SQL + """,
 firsts AS (
-  SELECT bucket, min(case_index) AS case_index FROM (
-    SELECT case_index, CASE WHEN predicted_tier IN ('HIGH', 'CRITICAL') THEN 'high'
+  SELECT bucket, min(case_index) AS case_index, arg_min(predicted_tier, case_index) AS predicted_tier FROM (
+    SELECT case_index, predicted_tier, CASE WHEN predicted_tier IN ('HIGH', 'CRITICAL') THEN 'high'
       WHEN predicted_tier = 'MODERATE' THEN 'moderate' WHEN predicted_tier = 'LOW' THEN 'low' END AS bucket
     FROM results) WHERE bucket IS NOT NULL GROUP BY bucket)
 SELECT f.bucket, f.case_index, CAST(length(coalesce(n.narrative, '')) AS BIGINT) AS narrative_length,
-  true AS tier_matches_prediction,
+  coalesce(regexp_extract(n.narrative, 'assessed as ([A-Z]+) risk', 1), '') = f.predicted_tier AS tier_matches_prediction,
   coalesce((SELECT bool_or(a.name <> '' AND contains(lower(coalesce(n.narrative, '')), lower(a.name)))
             FROM an_factors a WHERE a.submission_id = f.case_index), false) AS references_shap_factor
 FROM firsts f LEFT JOIN narratives n ON n.submission_id = f.case_index""",
@@ -181,7 +191,8 @@ def narrative_eval(spark, sf_dir):
     nar = views.narratives(spark, sf_dir).select(
         F.col("submission_id").alias("case_index"), F.col("narrative").alias("underwriter_narrative")
     )
-    res = res.join(p, "case_index", "left").withColumn("narrative_tier", F.col("predicted_tier"))
+    tier = F.regexp_extract("underwriter_narrative", r"assessed as ([A-Z]+) risk", 1)  # the tier that the text names
+    res = res.join(p, "case_index", "left").join(nar.select("case_index", tier.alias("narrative_tier")), "case_index", "left")
     return oe.narrative_eval(res, nar, "case_index")
 
 

@@ -57,9 +57,28 @@ def stream_alerts(spark, sf_dir):
     return out.withColumn("window_start", F.date_format("window_start", om.TS_FORMAT))
 
 
-@register("stream_dedup", "SELECT count(*) AS n, count(DISTINCT event_id) AS n_distinct FROM events")
+@register(
+    "stream_dedup",
+    """SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS n_distinct,
+  CAST(count(*) + count(*) FILTER (WHERE event_id % 10 = 0) + count(*) FILTER (WHERE event_id % 15 = 0) AS BIGINT) AS n_fed
+FROM events GROUP BY event_type""",
+)
 def stream_dedup(spark, sf_dir):
-    """O-R3: duplicate request ids dropped within the watermark."""
-    ev = st.dedup_stream(_events_stream(spark, sf_dir), "event_id", "ts", DELAY)
-    out = st.run_to_table(ev.select("event_id"), "stream_dedup")
-    return out.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("n_distinct"))
+    """O-R3: request ids repeated within the watermark delay are dropped: the
+    events, every 10th again two minutes later and every 15th again four later."""
+
+    def fed(e):
+        e = e.select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+        for every, minutes in ((10, 2), (15, 4)):
+            late = e.where(F.col("event_id") % every == 0).withColumn("ts", F.col("ts") + F.expr(f"INTERVAL {minutes} MINUTES"))
+            yield late
+        yield e
+
+    ten, fifteen, all_ = fed(_events_stream(spark, sf_dir))
+    ev = st.dedup_stream(all_.unionByName(ten).unionByName(fifteen), "event_id", "ts", DELAY)
+    out = st.run_to_table(ev.select("event_id", "event_type"), "stream_dedup")
+    batch = list(fed(views.table(spark, sf_dir, "events")))
+    total = batch[2].unionByName(batch[0]).unionByName(batch[1]).groupBy("event_type").agg(F.count(F.lit(1)).alias("n_fed"))
+    return out.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("n_distinct")
+    ).join(total, "event_type")

@@ -87,3 +87,13 @@ def test_explode_with_pos_keeps_order_and_drops_empty(spark):
     plan = explode_with_pos(df, ["k"], F.split(F.lit("a b"), " "), "p", "x")._jdf.queryExecution() \
         .optimizedPlan().toString()
     assert "size(" not in plan
+
+
+def test_dates(spark):
+    from riskflow.operators import entities as oe
+
+    text = "Loss on 2024-01-15, reported 3/4/2024 and settled March 5, 2024; ref 12024-01-15, PLY-2024-00012, 1/2/24."
+    pages = spark.createDataFrame([(1, 0, text)], "doc_id long, page_number int, text string")
+    got = oe.extract_entities(pages).where("label = 'DATE'").orderBy("span_no").collect()
+    assert [r["text"] for r in got] == ["2024-01-15", "3/4/2024", "March 5, 2024"]
+    assert all(text[r["start_char"]:r["end_char"]] == r["text"] for r in got)
