@@ -264,12 +264,20 @@ def _tree_model(spark, sf_dir):
     return rows, om.fit_probability(rows.where("is_train"))
 
 
+_trained: dict = {}  # the last training of this session: both queries below need the same one
+
+
 def _tree_values(spark, sf_dir):
     from ..operators.tree_explain import explain_trees
 
-    rows, model = _tree_model(spark, sf_dir)
-    path = f"{checkpoint_dir(spark)}/gbt-{uuid.uuid4().hex[:12]}"
-    return rows, model, staged(explain_trees(rows, model.stages[-1], "case_id", path), "attributions")
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _trained:
+        rows, model = _tree_model(spark, sf_dir)
+        path = f"{checkpoint_dir(spark)}/gbt-{uuid.uuid4().hex[:12]}"
+        values = staged(explain_trees(rows, model.stages[-1], "case_id", path), "attributions")
+        _trained.clear()
+        _trained[at] = rows, model, values
+    return _trained[at]
 
 
 @register("tree_attribution")
