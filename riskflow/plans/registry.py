@@ -36,6 +36,7 @@ def load_all() -> None:
         q_jobs,
         q_monitor,
         q_quality,
+        q_round_trips,
         q_sources,
         q_streaming,
         q_text,
