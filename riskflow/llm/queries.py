@@ -72,6 +72,9 @@ def op5_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+ORACLES["op5_cover_tree"] = cover_tree.ORACLE
+
+
 @query
 def op6_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document packed into sequences of at most 4096 tokens."""

@@ -191,3 +191,21 @@ def test_op5_on_the_table(spark):
     rows = [(r.vec_id, list(r.embedding), r.label) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     want = pd.DataFrame(plain_links(rows, 0.98), columns=["vec_id", "n_links", "component_id", "kept"])
     assert sorted(map(tuple, got.itertuples(index=False))) == sorted(map(tuple, want.itertuples(index=False)))
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
+    assert sorted(con.execute(queries.ORACLES["op5_cover_tree"]).fetchall()) == sorted(map(tuple, got[["vec_id", "n_links", "component_id", "kept"]].itertuples(index=False)))
+
+
+def test_op5_sql_twin_with_links(spark):
+    import duckdb
+
+    rows = [r for r in make_vectors(150, 8) if r[0] is not None] + [(901, [0.0] * 12, 1), (902, None, 1), (903, [1.0] * 12, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[], label INTEGER)")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?, ?)", rows)
+    want = sorted(con.execute(cover_tree.ORACLE).fetchall())
+    assert sum(n for _, n, _, _ in want) > 50
+    assert sorted(map(tuple, cover_tree.near_duplicates(df).collect())) == want
