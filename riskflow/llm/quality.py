@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_ENTRIES, fresh, held_out
+from .common import fresh, held_out
 
 BITS = 18
 ROWS_PER_CLASS = 6000
@@ -36,6 +36,8 @@ ALPHA, BETA, L1, L2 = 0.3, 1.0, 1e-4, 1e-4
 THRESHOLD = 0.3
 #: Characters of text whose words are held at once; longer texts go in pieces.
 PIECE_CHARS = 1 << 20
+#: Words whose hashes a Python worker keeps; beyond it the cache starts anew.
+CACHE_WORDS = 250_000
 
 _WORDS = re.compile(r"\w+|[^\w\s]+").findall
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -80,7 +82,7 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     for words in _word_lists(text or ""):
         if not words:
             continue
-        if len(_codes) > CACHE_ENTRIES:
+        if len(_codes) > CACHE_WORDS:
             _codes.clear()
         got = []
         for w in words:
