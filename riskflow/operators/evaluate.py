@@ -153,18 +153,24 @@ def confusion(results: DataFrame) -> DataFrame:
     return results.groupBy("expected_tier", "predicted_tier").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
 
 
-def narrative_eval(results: DataFrame, narratives: DataFrame, key: str = "case_index") -> DataFrame:
-    """O-Q19: the first HIGH/CRITICAL, first MODERATE and first LOW case (in
-    case order) with narrative length, tier agreement and factor reference
-    (a factor name found in the narrative, case-insensitive)."""
+def first_of_each_tier(results: DataFrame, key: str = "case_index") -> DataFrame:
+    """(bucket, key): the first HIGH/CRITICAL, first MODERATE and first LOW case
+    by ``case_order``; at most three rows."""
     bucket = (
         F.when(F.col("predicted_tier").isin("HIGH", "CRITICAL"), F.lit("high"))
         .when(F.col("predicted_tier") == "MODERATE", F.lit("moderate"))
         .when(F.col("predicted_tier") == "LOW", F.lit("low"))
     )
-    firsts = results.where(bucket.isNotNull()).groupBy(bucket.alias("bucket")).agg(
+    return results.where(bucket.isNotNull()).groupBy(bucket.alias("bucket")).agg(
         F.min(F.struct("case_order", key)).alias("_f")
     ).select("bucket", F.col(f"_f.{key}").alias(key))
+
+
+def narrative_eval(results: DataFrame, narratives: DataFrame, key: str = "case_index") -> DataFrame:
+    """O-Q19: the first HIGH/CRITICAL, first MODERATE and first LOW case (in
+    case order) with narrative length, tier agreement and factor reference
+    (a factor name found in the narrative, case-insensitive)."""
+    firsts = first_of_each_tier(results, key)
     j = firsts.join(results, key).join(narratives, key, "left")
     narr = F.coalesce(F.col("underwriter_narrative"), F.lit(""))
     names = F.transform(F.coalesce(F.col("key_risk_factors"), F.array().cast(

@@ -186,9 +186,15 @@ FROM firsts f LEFT JOIN narratives n ON n.submission_id = f.case_index""",
 )
 def narrative_eval(spark, sf_dir):
     """O-Q19: narrative checks on the first case of each predicted tier bucket."""
-    res = _evaluate(spark, sf_dir).withColumn("case_order", F.col("case_index"))
-    p = _predictions(spark, sf_dir).select(F.col("case_id").alias("case_index"), "key_risk_factors")
-    nar = views.narratives(spark, sf_dir).select(
+    cases = views.claims(spark, sf_dir).select("case_id")
+    tiers = score(views.scored(spark, sf_dir)).select(F.col("submission_id").alias("case_id"), F.col("risk_tier").alias("predicted_tier"))
+    res = cases.join(tiers, "case_id").select(F.col("case_id").alias("case_index"), F.col("case_id").alias("case_order"), "predicted_tier")
+    # at most three ids: the scans below read only their records
+    ids = [r["case_index"] for r in oe.first_of_each_tier(res).collect()]
+    res = res.where(F.col("case_index").isin(ids))
+    p = _predictions(spark, sf_dir).where(F.col("case_id").isin(ids)).select(
+        F.col("case_id").alias("case_index"), "key_risk_factors")
+    nar = views.narratives(spark, sf_dir).where(F.col("submission_id").isin(ids)).select(
         F.col("submission_id").alias("case_index"), F.col("narrative").alias("underwriter_narrative")
     )
     tier = F.regexp_extract("underwriter_narrative", r"assessed as ([A-Z]+) risk", 1)  # the tier that the text names
