@@ -53,15 +53,43 @@ def alerts(rates: DataFrame, threshold_pct: float = 5.0) -> DataFrame:
     return rates.where(F.col("error_pct") >= threshold_pct)
 
 
+BAND, BAND_ACCURACY = 0.01, 1000  # half width of the band in ranks; error of its sketch is 1 / accuracy
+
+
 def latency_quantile(events: DataFrame, q: float = 0.99, key: str = "service", value: str = "latency",
                      exact: bool = True, accuracy: int = 10000) -> DataFrame:
-    """O-A3: per-key latency quantile.  ``exact`` uses ``percentile`` (linear
-    interpolation; its buffer is the key's distinct values, merged map-side);
-    ``exact=False`` uses the bounded-memory ``percentile_approx`` sketch for
-    keys with very many distinct values."""
-    agg = F.percentile(F.col(value), F.lit(q)) if exact else F.percentile_approx(F.col(value), q, accuracy)
-    return events.groupBy(key).agg(F.round(agg, 6).alias(f"p{int(round(q * 100))}"),
-                                   F.count(F.lit(1)).cast("bigint").alias("n"))
+    """O-A3: per-key latency quantile, with linear interpolation between the two
+    order statistics around rank q * (n - 1); null values are left out.
+
+    ``exact`` brackets the rank by a bounded sketch (q plus and minus ``BAND``),
+    counts what lies below the bracket, and ranks only the distinct values
+    inside it, so no task holds all values of a key.  ``exact=False`` answers
+    with the sketch alone."""
+    name = f"p{int(round(q * 100))}"
+    if not exact:
+        return events.groupBy(key).agg(F.round(F.percentile_approx(F.col(value), q, accuracy), 6).alias(name),
+                                       F.count(F.lit(1)).cast("bigint").alias("n"))
+    v = F.col(value).cast("double")
+    rows = events.select(F.col(key).alias("_k"), v.alias("_v"))
+    edges = F.percentile_approx("_v", [max(0.0, q - BAND), min(1.0, q + BAND)], BAND_ACCURACY)
+    ends = rows.groupBy("_k").agg(F.count(F.lit(1)).alias("n"), F.count("_v").alias("_m"), edges.alias("_e"),
+                                  F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+    few = F.col("_m") * BAND < 2  # the band is under two ranks wide: take all of the key's few values
+    ends = ends.select("_k", "n", "_m", F.when(few, F.col("_least")).otherwise(F.get("_e", F.lit(0))).alias("_lo"),
+                       F.when(few, F.col("_most")).otherwise(F.get("_e", F.lit(1))).alias("_hi"))
+    held = rows.where("_v is not null").join(ends.select("_k", "_lo", "_hi"), "_k").where("_v <= _hi")
+    # one row per key for all below the bracket, one per distinct value inside it
+    at = F.when(F.col("_v") >= F.col("_lo"), F.col("_v"))
+    counts = held.groupBy("_k", at.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy("_k").orderBy(F.col("_v").asc_nulls_first()))
+    ranked = counts.withColumn("_upto", upto).join(ends.select("_k", "_m"), "_k")
+    rank = F.lit(q) * (F.col("_m") - 1)
+    reach = lambda r: F.min(F.when(F.col("_upto") > r, F.col("_v")))
+    found = ranked.groupBy("_k").agg(
+        reach(F.floor(rank)).alias("_a"), reach(F.ceil(rank)).alias("_b"), F.max(rank - F.floor(rank)).alias("_f"))
+    return ends.join(found, "_k", "left").select(
+        F.col("_k").alias(key), F.round(F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f"), 6).alias(name),
+        F.col("n").cast("bigint").alias("n"))
 
 
 def bucket_histogram(df: DataFrame, value: str, edges=tuple(vocab.SIMILARITY_BUCKETS), by: list[str] | None = None
