@@ -36,6 +36,8 @@ ALPHA, BETA, L1, L2 = 0.3, 1.0, 1e-4, 1e-4
 THRESHOLD = 0.3
 #: Characters of text whose words are held at once; longer texts go in pieces.
 PIECE_CHARS = 1 << 20
+#: Hashes of a long text's n-grams held before they become counts.
+FOLD_GRAMS = 4 << 20
 #: Words whose hashes a Python worker keeps; beyond it the cache starts anew.
 CACHE_WORDS = 250_000
 
@@ -77,7 +79,8 @@ def _word_lists(text: str) -> Iterator[list[str]]:
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(indices, values) of a text's vector of length one; empty texts have
     none."""
-    found: list[np.ndarray] = []
+    found: list[np.ndarray] = []  # hashes, uint64
+    folded: list[np.ndarray] = []  # counts of earlier ones, int64: never joined with hashes, as both together turn to float
     word = form = np.empty(0, np.uint64)
     for words in _word_lists(text or ""):
         if not words:
@@ -104,16 +107,15 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         found.append(triple[max(old - 2, 0) :])
         if len(text) > PIECE_CHARS:  # fold what has been found, to hold one piece's n-grams only
             found = [np.concatenate(found)]
-            if len(found[0]) > 4 << 20:
-                found = _fold(found)
+            if len(found[0]) > FOLD_GRAMS:
+                folded, found = _fold([*folded, *found]), []
         word, form = word[-2:], form[-2:]
-    if not found:
+    if not found and not folded:
         return np.empty(0, np.int64), np.empty(0)
-    folded = [f for f in found if f.dtype == np.int64]
-    index = np.concatenate([f for f in found if f.dtype == np.uint64] or [np.empty(0, np.uint64)])
+    index = np.concatenate([np.empty(0, np.uint64), *found])
     at, count = np.unique((index >> _TOP).astype(np.int64), return_counts=True)
     if folded:
-        dense = folded[0].copy()
+        dense = folded[0]
         dense[at] += count
         at = np.flatnonzero(dense)
         count = dense[at]

@@ -49,6 +49,18 @@ def test_fold_counts_the_same():
     assert (dense == 2 * quality._fold(one)[0]).all() and dense.sum() == 2 * 1007
 
 
+@pytest.mark.parametrize("text", ["word. " * 400 + "TAIL!!", "BUY now!! é 12 x x x " * 60, "a b " * 30 + " " * 400 + "c!"])
+@pytest.mark.parametrize("grams", [0, 20, 90])
+def test_features_of_texts_folded_several_times(monkeypatch, text, grams):
+    folds, fold = [], quality._fold
+    monkeypatch.setattr(quality, "PIECE_CHARS", 16)
+    monkeypatch.setattr(quality, "FOLD_GRAMS", grams, raising=False)
+    monkeypatch.setattr(quality, "_fold", lambda found: folds.append(1) or fold(found))
+    at, x = quality.features(text)
+    assert len(folds) > 1
+    assert dict(zip(at.tolist(), np.round(x, 12))) == {i: round(v, 12) for i, v in plain_features(text).items()}
+
+
 def test_quality_on_held_out_rows(spark):
     got = queries.QUERIES["op1_quality_classifier"](spark, SF).toPandas()
     docs = spark.read.parquet(f"{SF}/documents.parquet")
