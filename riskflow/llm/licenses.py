@@ -1,7 +1,10 @@
 """License scans by sentence rules.
 
-A text is cut into sentences, each normalised to lower-case words; a sentence
-that is known becomes its identifier and any other one falls away.  Ordered
+A text is cut into sentences, each normalised to lower-case words.  In a
+sentence, every stretch from its start or a line start to its end or a line end
+is looked up (the earliest first, of these the longest): a known one becomes its
+identifier, anything else falls away.  So a known sentence may be wrapped, and a
+line of its own is not glued to a line before it that has no end sign.  Ordered
 rules then rewrite runs of identifiers into licence names, longest runs first,
 so a full licence text counts once and not as its parts; identifiers that no
 rule takes remain as an unsure finding.
@@ -21,6 +24,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Sentences end at these signs before white space, and at blank lines.
 BREAK = r"[.!?;:]+[ \t\r\n\f]+|\n[ \t\r]*\n"
 MARK = "\x1e"
+#: Between two words of a sentence: a space, or a line end.
+GAP = "[ \n]"
 
 #: Known licence sentences and their identifiers.
 SENTENCES = [
@@ -97,26 +102,33 @@ KNOWN = {normalise(s): name for name, s in SENTENCES}
 BLOCKING = sorted({name for name, verdict, _ in RULES if verdict == "block"})
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences of a text, in order, empty ones left out."""
+#: Known sentences between line or sentence ends, the longest first.  No match
+#: goes over a sentence end, and each starts at a line, so the text is passed once.
+STRETCH = (f"(?:^|[{MARK}\n]) ?(" + "|".join(s.replace(" ", GAP) for s in sorted(KNOWN, key=len, reverse=True))
+           + f")(?= ?(?:[{MARK}\n]|\\z))")
+
+
+def normal_text(text: Column) -> Column:
+    """Lower-case words of a text, with a space, a line end or ``MARK`` (at the
+    end of a sentence) between them."""
     low = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    words = F.regexp_replace(F.regexp_replace(low, BREAK, MARK), f"[^a-z0-9{MARK}]+", " ")
-    return F.filter(F.transform(F.split(words, MARK), lambda s: F.trim(s)), lambda s: s != "")
+    words = F.regexp_replace(F.regexp_replace(low, BREAK, MARK), f"[^a-z0-9{MARK}\r\n]+", " ")
+    return F.regexp_replace(words, r" ?[\r\n][ \r\n]*", "\n")
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_sentences, sentence_ids (known ones in
-    order, joined by commas), licenses (each once, in order of its first place),
+    order, joined by commas; a sentence of several lines can hold several), licenses (each once, in order of its first place),
     n_found, n_unsure (identifiers that no rule took), verdict: block (a licence
     that blocks), allow, unsure (only unsure findings) or none.
 
     Null, empty and blank texts have no sentence and verdict none.  Texts of any
     length are read whole.  Rows repeat as they come; an empty table is empty."""
     ids = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
-    cut = docs.select(F.col(doc_id).alias("doc_id"), sentences(F.col(text)).alias("s"))
-    # one pass over the sentences: unknown ones become null and are dropped
-    known = cut.select("doc_id", F.size("s").cast("long").alias("n_sentences"),
-                       F.array_compact(F.transform("s", lambda s: F.try_element_at(ids, s))).alias("ids"))
+    cut = docs.select(F.col(doc_id).alias("doc_id"), normal_text(F.col(text)).alias("words"))
+    stretches = F.regexp_extract_all("words", F.lit(STRETCH), F.lit(1))
+    known = cut.select("doc_id", F.regexp_count("words", F.lit(f"[a-z0-9][^{MARK}]*")).cast("long").alias("n_sentences"),
+                       F.transform(stretches, lambda s: F.try_element_at(ids, F.translate(s, "\n", " "))).alias("ids"))
     run = F.concat(F.lit(""), F.array_join(F.transform("ids", lambda i: F.concat(F.lit("["), i, F.lit("]"))), ""))
     for name, _, seq in RULES:
         run = F.replace(run, F.lit("".join(f"[{i}]" for i in seq)), F.lit(f"<{name}>"))

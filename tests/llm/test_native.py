@@ -2,6 +2,7 @@
 
 import contextlib
 import io
+import re
 
 import duckdb
 import pytest
@@ -122,6 +123,43 @@ def test_licenses(spark):
     assert licenses.scan(df.where("false")).collect() == []
 
 
+PLANTED = {
+    "Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+    "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+    "All rights reserved.": "Proprietary",
+}
+BEFORE = ["| a | b |\n", "word word word word\n", "A table\r\n| 1 | 2 |\r\n", "thonhare.***\n", "No end sign\n=====\n", "x\n  > ", "|\n"]
+
+
+def plain_ids(text):
+    """Known stretches of whole lines in each sentence, the earliest and longest first."""
+    low, out = (text or "").translate(str.maketrans(licenses.UPPER, licenses.LOWER)), []
+    for sentence in re.split(licenses.BREAK + "|" + licenses.MARK, low):
+        lines = [n for n in (re.sub(r"[^a-z0-9]+", " ", x).strip() for x in re.split(r"[\r\n]+", sentence)) if n]
+        at = 0
+        while at < len(lines):
+            ends = [e for e in range(min(len(lines), at + 40), at, -1) if " ".join(lines[at:e]) in licenses.KNOWN]
+            out += [licenses.KNOWN[" ".join(lines[at : ends[0]])]] if ends else []
+            at = ends[0] if ends else at + 1
+    return ",".join(out)
+
+
+def test_license_lines_after_lines_without_an_end(spark):
+    texts = [(b + line + after, name) for line, name in PLANTED.items() for b in BEFORE for after in ("", "\nmore", " More.", "\n| c |")]
+    texts += [(b + line[:-1].replace(" ", "\n# ", 3) + "\nnext row", name) for line, name in PLANTED.items() for b in BEFORE]
+    texts += [("see\nnot released under the mit license by us", ""), ("a row\n" * 30_000 + "All rights reserved", "Proprietary"),
+              ("row\nLicensed under the Apache License, Version 2.0\n(the \"License\");\nyou", "Apache-2.0"),
+              ("row\nAll rights reserved\nAll rights\nreserved\nx", "Proprietary")]
+    everything = [t for t, _ in texts] + TEXTS
+    df = spark.createDataFrame(list(enumerate(everything)), "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(df).collect()}
+    for i, (text, name) in enumerate(texts):
+        assert got[i].licenses == name, text[-200:]
+        assert got[i].verdict == ("block" if name in licenses.BLOCKING else "allow" if name else "none")
+    for i, text in enumerate(everything):
+        assert got[i].sentence_ids == plain_ids(text), (text or "")[-200:]
+
+
 def test_rules_name_known_sentences():
     names = [n for n, _ in licenses.SENTENCES]
     assert len(set(names)) == len(names) == len(licenses.KNOWN)
