@@ -9,7 +9,8 @@ vector of counts has length one.
 Training uses at most ``ROWS_PER_CLASS`` labelled rows of each class (the ones
 with the smallest id hashes, whatever the number of labels), dealt to a fixed
 number of shards; each shard runs FTRL over its rows and the weights are
-averaged.  The intercept is moved to the class rates of all labelled rows.
+averaged.  The intercept is moved to the class rates of all labels that may
+teach, before the limit a class.
 Scoring is a narrow map over every whole text.
 """
 
@@ -161,15 +162,21 @@ def _train_shard(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"w": [model.weights().astype(np.float32).tobytes()]})
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, rows_per_class: int) -> DataFrame:
-    """(y, at, text) of the bounded training sample.  Documents whose labels
-    contradict each other, null labels and held-out rows teach nothing; a
-    repeated document teaches once."""
-    said = (
+def taught(labels: DataFrame) -> DataFrame:
+    """(id, y), one row per document, of the labels that may teach.  Documents
+    whose labels contradict each other, null labels, null ids and held-out rows
+    teach nothing; a repeated label teaches once."""
+    return (
         labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("y")).where("y in (0, 1) and id is not null")
         .groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most").drop("most")
-        .where(~held_out("id")).withColumn("at", F.xxhash64("id"))
+        .where(~held_out("id"))
     )
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, rows_per_class: int) -> DataFrame:
+    """(y, at, text) of the bounded training sample, of documents that ``taught``
+    names; a repeated document teaches once."""
+    said = taught(labels).withColumn("at", F.xxhash64("id"))
     picked = [said.where(F.col("y") == c).orderBy("at", "id").limit(rows_per_class) for c in (0, 1)]
     chosen = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * rows_per_class rows
     rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(chosen, "id")
@@ -188,8 +195,7 @@ def train(
     if not found:
         return np.zeros((1 << BITS) + 1, np.float32)
     w = np.mean(found, axis=0, dtype=np.float64)
-    rates = labels.where("quality in (0, 1)").groupBy("quality").count().collect()
-    count = {r["quality"]: r["count"] for r in rates}
+    count = {r["y"]: r["count"] for r in taught(labels).groupBy("y").count().collect()}
     bad, good = count.get(0, 0), count.get(1, 0)
     w[-1] += math.log((good + 1) / (bad + 1))  # the shards saw balanced classes
     return w.astype(np.float32)

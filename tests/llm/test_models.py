@@ -106,6 +106,26 @@ def test_sample_is_bounded_and_skips_held_out(spark):
     assert most == sum(not held(i) for i in range(400))
 
 
+def test_class_rates_are_of_the_labels_that_teach(spark):
+    good, bad = "The quick fox jumps over a lazy dog near town. ", "BUY!! NOW!! CHEAP!! CLICK!! HERE!! "
+    docs = spark.createDataFrame([(i, (good if i % 2 else bad) * (1 + i % 3)) for i in range(60)], "doc_id long, text string")
+    labels = [(i, i % 2) for i in range(60)]
+    taught = [i for i in range(50) if not held(i)]
+    variants = [
+        [(i, 1 - y if held(i) else y) for i, y in labels],  # held-out labels changed
+        [(i, y) for i, y in labels if not held(i)],  # none of them
+        labels + [labels[taught[0]]] * 500,  # one label row repeated
+        labels + [(None, 0)] * 500 + [(taught[1], None)] * 9,  # labels of no document, null labels
+    ]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, quality int")
+    want = quality.train(docs, frame(labels), rows_per_class=10)
+    for rows in variants:
+        assert np.allclose(quality.train(docs, frame(rows), rows_per_class=10), want, rtol=0, atol=1e-6)
+    twice = labels + [(taught[2], 1 - labels[taught[2]][1])]  # a contradicted label is as none
+    without = [x for x in labels if x[0] != taught[2]]
+    assert np.allclose(quality.train(docs, frame(twice)), quality.train(docs, frame(without)), rtol=0, atol=1e-6)
+
+
 def test_language_on_held_out_rows(spark):
     got = queries.QUERIES["op8_language_id"](spark, SF).toPandas()
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang").toPandas()
