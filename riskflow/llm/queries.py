@@ -11,6 +11,7 @@ from . import (
     byte_bpe,
     cover_tree,
     hilbert_search,
+    importance,
     language,
     licenses,
     packing,
@@ -115,6 +116,16 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op10_license_scan"] = licenses.ORACLE
 
 
+@query
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn towards the words of the benchmark."""
+    got = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return got.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+ORACLES["op13_importance_resampling"] = importance.ORACLE
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four stages of ``corpus_pipeline`` over ``documents``."""
