@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    ball_tree,
     byte_bpe,
     cover_tree,
     hilbert_search,
     importance,
+    katz,
     language,
     licenses,
     packing,
@@ -116,6 +118,21 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op10_license_scan"] = licenses.ORACLE
 
 
+@query
+def op11_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    return ball_tree.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op11_ball_tree"] = ball_tree.ORACLE
+
+
+@query
+def op12_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document by a backoff model of the others."""
+    return katz.score(table(spark, sf_dir, "documents"), katz.held_tenth())
+
+
 @query
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents drawn towards the words of the benchmark."""
