@@ -48,8 +48,8 @@ from .common import staged
 
 ORDER = 2
 MOST_DISCOUNTED = 5
-BLOCK_TOKENS = 1 << 20
-PART_TOKENS = 1 << 22  # tokens whose n-grams one partition of a table counts
+BLOCK_TOKENS = 3 << 18
+PART_TOKENS = 1 << 21  # tokens whose n-grams one partition of a table counts
 HISTORY_TOKENS = 1 << 20  # occurrences of a history whose successors one partition takes
 LEAST_PARTS = 8
 PIECE_BYTES = 4 << 20  # of a text whose words are held at once
@@ -83,7 +83,7 @@ def pack(values: np.ndarray) -> bytes:
     values = np.ascontiguousarray(values, "<u8")
     width = (int(values.max()).bit_length() + 7) // 8 if len(values) else 0
     planes = values.view(np.uint8).reshape(-1, 8)[:, :width].T
-    return struct.pack("<qB", len(values), width) + zstandard.compress(planes.tobytes(), 1)
+    return struct.pack("<qB", len(values), width) + zstandard.compress(planes.tobytes(), 3)
 
 
 def unpack(data: bytes) -> np.ndarray:
@@ -605,3 +605,46 @@ def held_tenth(doc_id: str = "doc_id") -> Column:
     """True when crc32 of the id as text is divisible by 10 (a null id counts as
     the empty text, which is)."""
     return (F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 10) == 0
+
+
+def _discounts_sql(name: str, counts: str) -> str:
+    """DuckDB: a one-row table of a level's discounts, as a list by count."""
+    return f"""{name}_n AS (SELECT list_transform([1, 2, 3, 4, 5, 6], lambda r: coalesce(len(list_filter(cs, lambda x: x = r)), 0)::DOUBLE) AS n
+  FROM (SELECT list(c) AS cs FROM {counts} WHERE c <= 6)),
+{name}_gt AS (SELECT n, 6 * n[6] / nullif(n[1], 0) AS common, CASE WHEN n[1] + n[2] > 0 THEN least(0.9, greatest(0.1, n[1] / (n[1] + 2 * n[2]))) ELSE 0.5 END AS off FROM {name}_n),
+{name}_l AS (SELECT off, list_min(n) > 0 AND common < 1 AS usable, list_transform([1, 2, 3, 4, 5],
+    lambda r: ((r + 1) * n[r + 1] / nullif(n[r], 0) / r - common) / nullif(1 - common, 0)) AS gt FROM {name}_gt),
+{name} AS (SELECT CASE WHEN usable AND list_min(gt) > 0 AND list_max(gt) < 1 THEN gt
+    ELSE list_transform([1, 2, 3, 4, 5], lambda r: 1 - off / r) END AS d FROM {name}_l)"""
+
+
+_ID_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(h) * 4),
+    lambda i: CASE WHEN i % 8 = 0 THEN ('0x' || substr(h, (i // 4 + 1)::INT, 2))::BIGINT ELSE 0::BIGINT END)),
+  lambda c, b: CASE WHEN xor(c, b) % 2 = 1 THEN xor(3988292384::BIGINT, xor(c, b) // 2) ELSE xor(c, b) // 2 END))"""
+#: DuckDB SQL of ``score`` at order 2.
+ORACLE = rf"""
+WITH docs AS (
+  SELECT doc_id, row_number() OVER () AS row, hex(encode(coalesce(doc_id::VARCHAR, ''))) AS h, list_append(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' end') AS words FROM documents),
+d AS (SELECT doc_id, row, words, {_ID_CRC} % 10 = 0 AS held FROM docs),
+tok AS (
+  SELECT row, held, p.v AS v, p.w AS w FROM (
+    SELECT row, held, unnest(list_transform(range(1, len(words) + 1), lambda i: {{'v': CASE WHEN i = 1 THEN ' start' ELSE words[i - 1] END, 'w': words[i]}})) AS p FROM d)),
+uni AS (SELECT w, count(*) AS c FROM tok WHERE NOT held GROUP BY w),
+bi AS (SELECT v, w, count(*) AS c FROM tok WHERE NOT held GROUP BY v, w),
+{_discounts_sql("d1", "uni")},
+{_discounts_sql("d2", "bi")},
+size AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS kinds, coalesce(min(c), 6) AS smallest FROM uni),
+p1 AS (SELECT w, c, CASE WHEN c <= 5 THEN d1.d[c] ELSE 1 END * c / (n + CASE WHEN smallest <= 5 THEN 0 ELSE 1 END) AS p FROM uni, size, d1),
+unknown AS (SELECT 1 - coalesce(sum(p), 0) AS p FROM p1),
+p2 AS (SELECT v, w, bi.c, CASE WHEN bi.c <= 5 THEN d2.d[bi.c] ELSE 1 END * bi.c AS mass, p1.p AS lower FROM bi JOIN p1 USING (w), d2),
+history AS (
+  SELECT v, sum(c) + CASE WHEN min(c) <= 5 THEN 0 ELSE 1 END AS size,
+    (1 - sum(mass) / (sum(c) + CASE WHEN min(c) <= 5 THEN 0 ELSE 1 END)) / (1 - sum(lower)) AS alpha FROM p2 GROUP BY v),
+scored AS (
+  SELECT row, count(*) AS n_tokens, count(p1.c) AS n_known, sum(log10((coalesce(p1.c, 0) + 0.1) / (n + 0.1 * (kinds + 1)))) AS base_score,
+    sum(log10(CASE WHEN p2.mass IS NOT NULL THEN p2.mass / history.size ELSE coalesce(alpha, 1) * coalesce(p1.p, unknown.p) END)) AS score
+  FROM tok LEFT JOIN p1 USING (w) LEFT JOIN p2 ON p2.v = tok.v AND p2.w = tok.w LEFT JOIN history ON history.v = tok.v, size, unknown
+  GROUP BY row)
+SELECT doc_id, held AS held_out, n_tokens, n_known, n AS train_tokens, base_score, score FROM scored JOIN d USING (row), size
+"""

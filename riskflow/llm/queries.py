@@ -133,6 +133,9 @@ def op12_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(table(spark, sf_dir, "documents"), katz.held_tenth())
 
 
+ORACLES["op12_katz_backoff"] = katz.ORACLE
+
+
 @query
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents drawn towards the words of the benchmark."""

