@@ -138,7 +138,8 @@ _BLOCK = T.StructType([
     T.StructField("block", T.LongType()), T.StructField("row", T.ArrayType(T.LongType())),
     T.StructField("held", T.ArrayType(T.BooleanType())), T.StructField("lead", T.ArrayType(T.IntegerType())),
     T.StructField("size", T.ArrayType(T.IntegerType())), T.StructField("tokens", T.BinaryType()),
-    T.StructField("words", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_starts", T.LongType()),
+    T.StructField("words", T.BinaryType()),
+    T.StructField("order", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_starts", T.LongType()),
 ])
 
 
@@ -171,7 +172,8 @@ class _Writer:
 
     def columns(self) -> list:
         hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in self.numbers), np.uint64, len(self.numbers))
-        return [self.row, self.held, self.lead, self.size, pack(np.concatenate(self.tokens)), hashes.tobytes(), self.taught, self.starts, self.ids]
+        return [self.row, self.held, self.lead, self.size, pack(np.concatenate(self.tokens)), hashes.tobytes(),
+                pack(np.argsort(hashes[1:], kind="stable") + 1), self.taught, self.starts, self.ids]
 
 
 def blocks(docs: DataFrame, doc_id: str, text: str, held: Column, order: int = ORDER) -> DataFrame:
@@ -252,7 +254,7 @@ class Block:
     def __init__(self, r):
         self.r, self.block = r, int(r.block)
         self.tokens = unpack(r.tokens)
-        self.words = np.frombuffer(r.words, np.uint64)
+        self.order = unpack(r.order)  # the local words by their hashes
         size, lead = np.asarray(r.size, np.int64), np.asarray(r.lead, np.int64)
         self.piece = np.repeat(np.arange(len(size)), size)
         start = np.cumsum(size) - size
@@ -265,25 +267,24 @@ class Block:
         #: and count; a number below 0 is none.
         self.number = self.count = None
 
-    def single_words(self, parts: int):
-        """Per partition: the local words it is asked about, in order."""
-        named = np.flatnonzero(np.bincount(self.tokens, minlength=len(self.words))[1:]) + 1
-        part = (_mixed(self.words[named]) % np.uint64(parts)).astype(np.int64)
-        order = np.lexsort((self.words[named], part))
-        named, part = named[order], part[order]
-        edge = np.searchsorted(part, np.arange(parts + 1))
-        return [(p, named[edge[p] : edge[p + 1]]) for p in range(parts) if edge[p] < edge[p + 1]]
-
     def ask_single(self, parts: int) -> Iterator[dict]:
-        count = np.bincount(self.tokens[self.taught], minlength=len(self.words))
-        for p, named in self.single_words(parts):
-            yield {"part": p, "word": self.words[named].tobytes(), "count": pack(count[named])}
+        """Asks each partition about the words in its range of hashes, in their
+        order; the only step that needs the hashes themselves."""
+        words = np.frombuffer(self.r.words, np.uint64)[self.order]
+        count = np.bincount(self.tokens[self.taught], minlength=len(self.order) + 1)[self.order]
+        part = ((words >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        edge = np.searchsorted(part, np.arange(parts + 1))
+        for p in range(parts):
+            if edge[p] < edge[p + 1]:
+                mine = slice(edge[p], edge[p + 1])
+                yield {"part": p, "word": words[mine].tobytes(), "count": pack(count[mine])}
 
     def told_single(self, replies: dict, c: Constants) -> None:
-        number, count = np.full(len(self.words), -1, np.int64), np.zeros(len(self.words), np.int64)
-        for p, named in self.single_words(c.parts):
-            count[named] = unpack(replies[p].count)
-            number[named] = unpack(replies[p].number)
+        number, count = np.full(len(self.order) + 1, -1, np.int64), np.zeros(len(self.order) + 1, np.int64)
+        # partitions are ranges of hashes, so their answers end to end are in the words' order
+        told = [replies[p] for p in sorted(replies)]
+        count[self.order] = np.concatenate([unpack(r.count) for r in told] or [np.empty(0, np.int64)])
+        number[self.order] = np.concatenate([unpack(r.number) for r in told] or [np.empty(0, np.int64)])
         number[count == 0] = -1
         number[0], count[0] = _AT_START, c.starts
         self.word, self.word_count = number[self.tokens], count[self.tokens]
@@ -524,7 +525,7 @@ class Model:
         return rows
 
     def _by_block(self, run, schema) -> DataFrame:
-        return self.blocks.groupBy("block").cogroup(self._replies().groupBy("block")).applyInPandas(run, schema)
+        return self.blocks.drop("words").groupBy("block").cogroup(self._replies().groupBy("block")).applyInPandas(run, schema)
 
     def requests(self) -> DataFrame:
         """What every block asks of the next level."""

@@ -142,7 +142,7 @@ def local_scores(docs, order, parts):
                 writer, number = katz._Writer(order), number + 1
     if writer.row:
         made.append((number, writer.columns()))
-    names = ["row", "held", "lead", "size", "tokens", "words", "n_tokens", "n_starts", "ids"]
+    names = ["row", "held", "lead", "size", "tokens", "words", "order", "n_tokens", "n_starts", "ids"]
     rows = list(pd.DataFrame([dict(zip(names, c)) | {"block": b} for b, c in made]).itertuples(index=False))
     c = katz.Constants(order, parts, sum(r.n_starts for r in rows))
     replies = pd.DataFrame()
