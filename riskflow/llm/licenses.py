@@ -154,13 +154,36 @@ def _sql_run() -> str:
     return run
 
 
-#: The same rows in DuckDB SQL.
+def _sql_known() -> str:
+    return ", ".join(f"('{s}', '{i}', {len(s.split())})" for s, i in KNOWN.items())
+
+
+#: The same rows in DuckDB SQL, which finds the stretches by comparing lines:
+#: sentences are lists of lines; the lines from one to another, joined, may be
+#: known; of these the earliest, and of those the one to the last line.
 ORACLE = f"""
-WITH cut AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(
-      translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.!?;:]+[ \\t\\r\\n\\f]+|\\n[ \\t\\r]*\\n', chr(30), 'g'),
-      '[^a-z0-9\\x1e]+', ' ', 'g'), chr(30)), lambda s: trim(s, ' ')), lambda s: s <> '') AS s FROM documents),
-known AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n_sentences, list_filter(list_transform(s, lambda x: CASE x
-      {' '.join(f"WHEN '{s}' THEN '{i}'" for s, i in KNOWN.items())} END), lambda i: i IS NOT NULL) AS ids FROM cut),
+WITH RECURSIVE known_sentences(s, id, n_words) AS (VALUES {_sql_known()}),
+texts AS (SELECT row_number() OVER () AS row, doc_id, string_split(regexp_replace(regexp_replace(
+      translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.!?;:]+[ \t\r\n\f]+|\n[ \t\r]*\n', chr(30), 'g'),
+      '[^a-z0-9\x1e\r\n]+', ' ', 'g'), chr(30)) AS parts FROM documents),
+sentences AS (SELECT row, p.at AS sentence, list_filter(list_transform(regexp_split_to_array(p.part, '[\r\n]'), lambda x: trim(x, ' ')), lambda x: x <> '') AS lines
+  FROM (SELECT row, unnest(list_transform(range(1, len(parts) + 1), lambda i: {{'at': i, 'part': parts[i]}})) AS p FROM texts)),
+held AS (SELECT * FROM sentences WHERE len(lines) > 0),
+counts AS (SELECT row, count(*) AS n FROM held GROUP BY row),
+starts AS (SELECT row, sentence, i, lines[i] AS line FROM (SELECT row, sentence, lines, unnest(range(1, len(lines) + 1)) AS i FROM held)),
+begun AS (SELECT row, sentence, i, s, id, n_words FROM starts JOIN known_sentences ON starts_with(s || ' ', line || ' ')),
+stretches AS (SELECT row, sentence, i, id, list_filter(range(i, least(len(lines), i + n_words - 1) + 1),
+    lambda j: array_to_string(list_slice(lines, i, j), ' ') = s) AS ends FROM begun JOIN held USING (row, sentence)),
+longest AS (SELECT row, sentence, i, max(ends[1]) AS j, arg_max(id, ends[1]) AS id FROM stretches WHERE len(ends) > 0 GROUP BY ALL),
+linked AS (SELECT a.row, a.sentence, a.i, a.j, a.id, min(b.i) AS next FROM longest a LEFT JOIN longest b
+  ON b.row = a.row AND b.sentence = a.sentence AND b.i > a.j GROUP BY ALL),
+taken AS (
+  SELECT row, sentence, i, id, next FROM linked WHERE (row, sentence, i) IN (SELECT (row, sentence, min(i)) FROM linked GROUP BY row, sentence)
+  UNION ALL
+  SELECT l.row, l.sentence, l.i, l.id, l.next FROM taken t JOIN linked l ON l.row = t.row AND l.sentence = t.sentence AND l.i = t.next),
+found AS (SELECT row, list(id ORDER BY sentence, i) AS ids FROM taken GROUP BY row),
+known AS (SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_sentences, coalesce(ids, []) AS ids
+  FROM texts LEFT JOIN counts USING (row) LEFT JOIN found USING (row)),
 run AS (SELECT doc_id, n_sentences, array_to_string(ids, ',') AS sentence_ids, {_sql_run()} AS run FROM known),
 names AS (SELECT doc_id, n_sentences, coalesce(sentence_ids, '') AS sentence_ids, regexp_extract_all(run, '<([^>]+)>', 1) AS names,
   CAST(len(regexp_extract_all(run, '\\[([^\\]]+)\\]', 1)) AS BIGINT) AS n_unsure FROM run)
