@@ -9,6 +9,8 @@ the join never multiplies rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -139,11 +141,11 @@ def linear_scorer(probability: LinearModel, severity: LinearModel):
     """Scores by two linear models: the logistic of the first margin, the second
     margin as the amount; the factors are the first one's contributions."""
 
-    def run(feats: DataFrame, key: str) -> DataFrame:
-        rows = feats.select(key, probability.contributions().alias("shap_values"),
+    def run(feats: DataFrame, key: str, keep: Iterable[str] = ()) -> DataFrame:
+        rows = feats.select(key, *keep, probability.contributions().alias("shap_values"),
                             severity.contributions().alias("_amount"))
         return rows.select(
-            key, (1.0 / (1.0 + F.exp(-probability.margin(F.col("shap_values"))))).alias("raw_probability"),
+            key, *keep, (1.0 / (1.0 + F.exp(-probability.margin(F.col("shap_values"))))).alias("raw_probability"),
             severity.margin(F.col("_amount")).alias("raw_amount"), "shap_values",
         )
 
@@ -170,7 +172,8 @@ def assess(pages: DataFrame, cases: DataFrame, scorer, k: int = vocab.DEFAULT_TO
            exact: bool = False, cells: dict | None = None) -> DataFrame:
     """O-J5: pages -> entities -> summary -> features -> score, tier and factors
     -> hashed entity text -> top-k similar cases -> assessment and quality
-    checks.  ``cases``: case_id, policy_id, summary, outcome, vector.
+    checks.  ``cases``: a stored ``CaseIndex`` (nothing is fitted then), or a table
+    of case_id, policy_id, summary, outcome, vector.
 
     Every document of ``submissions`` (else of ``pages``) gets a row: one without
     any entity scores the empty summary and searches the empty submission.
@@ -184,6 +187,7 @@ def assess(pages: DataFrame, cases: DataFrame, scorer, k: int = vocab.DEFAULT_TO
     from .features import features
     from .quality import quality_checks
     from .scoring import score
+    from .case_index import CaseIndex
     from .vectors import hash_embed, similar_cases, similar_cases_ann
 
     found = summarize_entities(dedup_entities(extract_entities(pages, key, clean=True, offsets=False)), key)
@@ -197,7 +201,10 @@ def assess(pages: DataFrame, cases: DataFrame, scorer, k: int = vocab.DEFAULT_TO
     pred = scored.select(key, "risk_tier", "risk_probability", "predicted_claim_amount", "confidence_score")
     fac = scored.select(key, "key_risk_factors")
     qv = hash_embed(summ.select(key, entities_to_text("entity_summary").alias("_txt")), key, "_txt", dim)
-    if exact:
+    if isinstance(cases, CaseIndex):
+        nb = cases.search(qv, k, threshold, query_key=key, probes=cases.n_cells if exact else None)
+        cases = cases.cases()
+    elif exact:
         nb = similar_cases(qv, cases, k, threshold, query_key=key)
     else:
         nb = similar_cases_ann(qv, cases, k, threshold, query_key=key, **(cells or {}))

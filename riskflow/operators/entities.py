@@ -103,7 +103,8 @@ def extract_entities(pages: DataFrame, key: str = "doc_id", page: str = "page_nu
         ).select(key, page, "_i", F.col("_z.m").alias("_m"), F.col("_z.s").alias("_s"))
     else:
         hits = explode_with_pos(staged, [key, page], F.col("_ms"), "_i", "_m")
-    label = F.coalesce(F.try_element_at(labels, F.col("_m")), rule_label)
+    by_phrase = F.try_element_at(labels, F.col("_m"))
+    label = by_phrase if rule_label is None else F.coalesce(by_phrase, rule_label)
     cols = [
         key,
         F.col(page).cast("int").alias("page_number"),
@@ -117,6 +118,29 @@ def extract_entities(pages: DataFrame, key: str = "doc_id", page: str = "page_nu
     return hits.select(*cols, F.lit(1.0).alias("confidence"))
 
 
+def page_entities(pages: DataFrame, key: str = "doc_id", page: str = "page_number", text: str = "text",
+                  gazetteer=vocab.GAZETTEER, rules=DEFAULT_RULES, clean: bool = True, keep: Iterable[str] = ()) -> DataFrame:
+    """O-N1/O-N3 in the page's own row: (key, page_number, *keep, entities), the
+    entities as ARRAY<STRUCT<text, label, span_no, confidence>> in reading order;
+    empty for a page without any (null text included).  Works on streams."""
+    pattern = entity_pattern(gazetteer, rules)
+    body = clean_text(F.col(text)) if clean else F.col(text)
+    labels = map_literal({p: lab for lab, p in gazetteer})
+
+    def label(m):
+        by_rule = None
+        for lab, rx in rules:
+            hit = m.rlike("^(?:" + rx + ")$")
+            by_rule = F.when(hit, F.lit(lab)) if by_rule is None else by_rule.when(hit, F.lit(lab))
+        found = F.try_element_at(labels, m)
+        return found if by_rule is None else F.coalesce(found, by_rule)
+
+    hits = F.regexp_extract_all(F.coalesce(body, F.lit("")), F.lit(pattern), 0)
+    structs = F.transform(hits, lambda m, i: F.struct(
+        m.alias("text"), label(m).alias("label"), i.alias("span_no"), F.lit(1.0).alias("confidence")))
+    return pages.select(key, F.col(page).cast("int").alias("page_number"), *keep, structs.alias("entities"))
+
+
 def extract_with_model(pages: DataFrame, loader: Callable, key: str = "doc_id", page: str = "page_number",
                        text: str = "text", confidence: float = 0.85) -> DataFrame:
     """O-N6: plug-in statistical extractor.  ``loader()`` is called once per

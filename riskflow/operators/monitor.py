@@ -8,10 +8,13 @@ buckets).  The same functions run on a streaming DataFrame after
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab
+from ..session import staged
 
 TS_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
@@ -53,7 +56,59 @@ def alerts(rates: DataFrame, threshold_pct: float = 5.0) -> DataFrame:
     return rates.where(F.col("error_pct") >= threshold_pct)
 
 
-BAND, BAND_ACCURACY = 0.01, 1000  # half width of the band in ranks; error of its sketch is 1 / accuracy
+#: Bits of a value fixed by each pass of the exact selection, from the top.
+RADIX_SHIFTS = (52, 39, 26, 13, 0)
+MOST_KEYS = 100_000  # whose ranks are broadcast; more are joined
+
+
+def _ordered_bits(values: Column) -> Column:
+    """long: the bits of a double, in the order of its value (-0.0 is 0.0; NaN
+    comes last)."""
+
+    @F.arrow_udf("long")
+    def bits(x: pa.Array) -> pa.Array:
+        raw = (x.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0).view(np.int64)
+        return pa.array(np.where(raw < 0, raw ^ np.int64(2**63 - 1), raw))
+
+    return bits(values)
+
+
+def _value_of(bits: Column) -> Column:
+    @F.arrow_udf("double")
+    def values(x: pa.Array) -> pa.Array:
+        raw = x.to_numpy(zero_copy_only=False).astype(np.int64)
+        return pa.array(np.where(raw < 0, raw ^ np.int64(2**63 - 1), raw).view(np.float64))
+
+    return values(bits)
+
+
+def order_statistics(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """(_k, _t, value): the value at each 0-based ``_rank`` among the values of
+    its key.  ``rows``: _k, _v (double, not null); ``targets``: _k, _t, _rank.
+
+    A radix selection over the order-preserving bits: every pass counts, for each
+    target, the next 13 bits of the values that share the bits found so far, so a
+    pass makes at most 8,192 rows a target and there are always five, whatever
+    the values and however many a key has.  No values are sorted or gathered."""
+    bits = staged(rows.select("_k", _ordered_bits(F.col("_v")).alias("_bits")), "ordered-bits")
+    found = staged(targets.select("_k", "_t", "_rank", F.lit(0).cast("long").alias("_at")), "ranks")
+    few = found.count() <= MOST_KEYS * 2  # the size check of the broadcasts below
+    before = None
+    for shift in RADIX_SHIFTS:
+        asked = found if before is None else found.withColumn("_same", F.col("_at"))
+        asked = F.broadcast(asked) if few else asked
+        at = F.shiftright("_bits", shift)
+        if before is None:
+            held = bits.join(asked.select("_k", "_t"), "_k")
+        else:
+            held = bits.withColumn("_same", F.shiftright("_bits", before)).join(asked.select("_k", "_t", "_same"), ["_k", "_same"])
+        counts = held.groupBy("_k", "_t", at.alias("_next")).agg(F.count(F.lit(1)).alias("_n"))
+        upto = F.sum("_n").over(Window.partitionBy("_k", "_t").orderBy("_next"))  # of 8,192 rows at most
+        met = counts.withColumn("_upto", upto).join(found.select("_k", "_t", "_rank"), ["_k", "_t"]).where("_upto > _rank")
+        step = met.groupBy("_k", "_t").agg(F.min_by(F.struct("_next", (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_rank")), F.col("_next")).alias("_s"))
+        found = staged(step.select("_k", "_t", F.col("_s._rank").alias("_rank"), F.col("_s._next").alias("_at")), "ranks")
+        before = shift
+    return found.select("_k", "_t", _value_of(F.col("_at")).alias("value"))
 
 
 def latency_quantile(events: DataFrame, q: float = 0.99, key: str = "service", value: str = "latency",
@@ -61,34 +116,24 @@ def latency_quantile(events: DataFrame, q: float = 0.99, key: str = "service", v
     """O-A3: per-key latency quantile, with linear interpolation between the two
     order statistics around rank q * (n - 1); null values are left out.
 
-    ``exact`` brackets the rank by a bounded sketch (q plus and minus ``BAND``),
-    counts what lies below the bracket, and ranks only the distinct values
-    inside it, so no task holds all values of a key.  ``exact=False`` answers
-    with the sketch alone."""
+    ``exact`` selects the two by radix (``order_statistics``); ``exact=False``
+    answers with a bounded sketch."""
     name = f"p{int(round(q * 100))}"
     if not exact:
         return events.groupBy(key).agg(F.round(F.percentile_approx(F.col(value), q, accuracy), 6).alias(name),
                                        F.count(F.lit(1)).cast("bigint").alias("n"))
-    v = F.col(value).cast("double")
-    rows = events.select(F.col(key).alias("_k"), v.alias("_v"))
-    edges = F.percentile_approx("_v", [max(0.0, q - BAND), min(1.0, q + BAND)], BAND_ACCURACY)
-    ends = rows.groupBy("_k").agg(F.count(F.lit(1)).alias("n"), F.count("_v").alias("_m"), edges.alias("_e"),
-                                  F.min("_v").alias("_least"), F.max("_v").alias("_most"))
-    few = F.col("_m") * BAND < 2  # the band is under two ranks wide: take all of the key's few values
-    ends = ends.select("_k", "n", "_m", F.when(few, F.col("_least")).otherwise(F.get("_e", F.lit(0))).alias("_lo"),
-                       F.when(few, F.col("_most")).otherwise(F.get("_e", F.lit(1))).alias("_hi"))
-    held = rows.where("_v is not null").join(ends.select("_k", "_lo", "_hi"), "_k").where("_v <= _hi")
-    # one row per key for all below the bracket, one per distinct value inside it
-    at = F.when(F.col("_v") >= F.col("_lo"), F.col("_v"))
-    counts = held.groupBy("_k", at.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    upto = F.sum("_c").over(Window.partitionBy("_k").orderBy(F.col("_v").asc_nulls_first()))
-    ranked = counts.withColumn("_upto", upto).join(ends.select("_k", "_m"), "_k")
+    # a struct as the key: a null key is a key like any other
+    rows = events.select(F.struct(F.col(key).alias("key")).alias("_k"), F.col(value).cast("double").alias("_v"))
+    ends = staged(rows.groupBy("_k").agg(F.count(F.lit(1)).alias("n"), F.count("_v").alias("_m")), "key-sizes")
     rank = F.lit(q) * (F.col("_m") - 1)
-    reach = lambda r: F.min(F.when(F.col("_upto") > r, F.col("_v")))
-    found = ranked.groupBy("_k").agg(
-        reach(F.floor(rank)).alias("_a"), reach(F.ceil(rank)).alias("_b"), F.max(rank - F.floor(rank)).alias("_f"))
-    return ends.join(found, "_k", "left").select(
-        F.col("_k").alias(key), F.round(F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f"), 6).alias(name),
+    targets = ends.where("_m > 0").select("_k", F.explode(F.array(
+        F.struct(F.lit("low").alias("_t"), F.floor(rank).cast("long").alias("_rank")),
+        F.struct(F.lit("high").alias("_t"), F.ceil(rank).cast("long").alias("_rank")))).alias("t")).select("_k", "t.*")
+    got = order_statistics(rows.where("_v is not null"), targets).groupBy("_k").agg(
+        F.max(F.when(F.col("_t") == "low", F.col("value"))).alias("_a"), F.max(F.when(F.col("_t") == "high", F.col("value"))).alias("_b"))
+    part = rank - F.floor(rank)
+    return ends.join(got, "_k", "left").select(
+        F.col("_k.key").alias(key), F.round(F.when(part == 0, F.col("_a")).otherwise(F.col("_a") + (F.col("_b") - F.col("_a")) * part), 6).alias(name),
         F.col("n").cast("bigint").alias("n"))
 
 

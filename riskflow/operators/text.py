@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..functions.core import WS, explode_with_pos, strip
 from ..functions.text import sentences
+from .running import running_total
 
 PARAGRAPH_SPLIT = rf"\n{WS}*\n"
 
@@ -71,29 +72,14 @@ def chunk_cases(chunks: DataFrame, company: str = "company", order: str = "doc_i
     """O-T7: filing chunks -> case records with one running number ``i`` over
     all chunks ordered by (company, order key, chunk_no).
 
-    The running number is a prefix sum built in three bounded levels:
-    chunk counts per document; per (company, order >> bucket_bits) bucket
-    totals, whose prefix runs over a table of at most #companies +
-    #documents / 2^bucket_bits rows; and a running sum inside each bucket
-    (at most 2^bucket_bits documents).  ``order`` must be an integer key.
+    Chunks are counted per document first, so a document's chunks are one row
+    wherever they lie; the counts get a distributed running sum
+    (``running_total``), whatever the type of the keys and however they spread;
+    ``bucket_bits`` is left for callers of before and has no effect.
     """
-    per_doc = chunks.groupBy(company, order).agg(F.count(F.lit(1)).alias("_n")).withColumn(
-        "_bk", F.shiftright(F.col(order).cast("bigint"), bucket_bits)
-    )
-    per_bucket = per_doc.groupBy(company, "_bk").agg(F.sum("_n").alias("_bn"))
-    bucket_before = per_bucket.select(
-        company, "_bk",
-        F.coalesce(F.sum("_bn").over(Window.orderBy(company, "_bk").rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_bb"),
-    )
-    within = per_doc.select(
-        company, order, "_bk",
-        F.coalesce(F.sum("_n").over(Window.partitionBy(company, "_bk").orderBy(order)
-                                    .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_wb"),
-    )
-    offsets = within.join(bucket_before, [company, "_bk"]).select(
-        company, order, (F.col("_bb") + F.col("_wb")).alias("_before")
-    )
+    per_doc = chunks.groupBy(company, order).agg(F.count(F.lit(1)).alias("_n"))
+    upto = running_total(per_doc, [F.asc(company), F.asc(order)], value=F.col("_n"), out="_upto")
+    offsets = upto.select(company, order, (F.col("_upto") - F.col("_n")).alias("_before"))
     i = F.col("_before") + F.col("chunk_no")
     name = F.col(company)
     return chunks.join(offsets, [company, order]).select(

@@ -6,16 +6,19 @@ from pyspark.sql import functions as F
 
 from ..operators import assemble as oa
 from ..operators import claims as oc
+from ..operators import entities as oent
 from ..operators import evaluate as oe
 from ..operators import explain as ox
 from ..operators import monitor as om
 from ..operators import scoring as om_score
 from ..operators import vectors as ov
+from ..operators.case_index import CaseIndex, build_case_index, open_case_index
+from ..operators.vectors import SAMPLE_QUERIES
 from ..functions.text import entities_to_text
 from . import sql_views as sv
 from . import views
 from .. import vocab
-from ..session import staged
+from ..session import checkpoint_dir
 from .q_entities import _SUB_LABELS as SUB_LABELS
 from .q_entities import DEDUP_CTE, ENTITIES_CTE, LISTS_CTE, SUMMARY_LONG_CTE
 from .q_quality import LINEAR_BETA, LINEAR_MEANS, LINEAR_MODEL, SEVERITY_MODEL
@@ -257,10 +260,33 @@ SELECT doc_id, CASE WHEN p < 0.25 THEN 'LOW' WHEN p < 0.5 THEN 'MODERATE' WHEN p
 FROM sums JOIN top USING (doc_id) LEFT JOIN narratives ON submission_id = doc_id"""
 
 
+def submission_vectors(spark, sf_dir, ids, dim: int = 384):
+    """Search vectors of the submissions named in ``ids`` (doc_id)."""
+    pages = views.submission_pages(spark, sf_dir).join(F.broadcast(ids), "doc_id", "left_semi")
+    found = oent.summarize_entities(oent.dedup_entities(oent.extract_entities(pages, "doc_id", clean=True, offsets=False)), "doc_id")
+    return ov.hash_embed(found.select("doc_id", entities_to_text("entity_summary").alias("t")), "doc_id", "t", dim)
+
+
+def stored_index(spark, sf_dir) -> CaseIndex:
+    """The claim case index, built once under the shared folder and opened by
+    every query after.  Its name is a digest of the claim tables' files (path,
+    size, time), so changed tables get an index of their own."""
+    files = [views.table(spark, sf_dir, t).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+             for t in ("orders", "customer", "nation")]
+    seen = files[0].unionByName(files[1]).unionByName(files[2]).distinct()
+    name = seen.agg(F.md5(F.to_json(F.array_sort(F.collect_list(F.struct("*")))))).first()[0]  # one row a file
+    path = f"{checkpoint_dir(spark).rstrip('/')}/claim-index-{name}"
+    try:
+        return open_case_index(spark, path)
+    except FileNotFoundError:
+        ids = views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"))
+        ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_QUERIES)
+        like = submission_vectors(spark, sf_dir, ids).select("vector")
+        return build_case_index(case_index(spark, sf_dir), path, like=like)
+
+
 def _assess(spark, sf_dir):
-    # the case index is an offline artefact used three times below (cell sizes,
-    # search, metadata): write it once
-    cases = staged(case_index(spark, sf_dir), "case-index")
+    cases = stored_index(spark, sf_dir)
     nar = views.narratives(spark, sf_dir).select(F.col("submission_id").alias("doc_id"), F.col("narrative").alias("underwriter_narrative"))
     return oa.assess(views.submission_pages(spark, sf_dir), cases, oa.linear_scorer(LINEAR_MODEL, SEVERITY_MODEL),
                      key="doc_id", narratives=nar)

@@ -9,16 +9,26 @@ oracle keeps exactly the windows that closed.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import monitor as om
+from ..operators.assemble import linear_scorer
+from ..session import checkpoint_dir
+from ..streaming import stateful as ss
 from ..streaming import streams as st
 from . import sql_views as sv
 from . import views
+from .q_assemble import _LINEAR_ROWS, SUB_LABELS
+from .q_entities import DEDUP_CTE, ENTITIES_CTE, LISTS_CTE, SUMMARY_LONG_CTE
+from .q_quality import LINEAR_MODEL, SEVERITY_MODEL
 from .registry import register
+from .. import vocab
 
 C = sv.with_ctes
 DELAY = "10 minutes"
+HOURS, IDLE_MS = 40, 1_830_500  # hours over which the pages arrive; idle time that closes a document
 
 
 def _events_stream(spark, sf_dir):
@@ -82,3 +92,67 @@ def stream_dedup(spark, sf_dir):
     return out.groupBy("event_type").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("n_distinct")
     ).join(total, "event_type")
+
+
+@register(
+    "stream_submissions",
+    C(sv.SUBMISSION_PAGES, ENTITIES_CTE, DEDUP_CTE, SUMMARY_LONG_CTE, LISTS_CTE) + f""",
+feats AS (SELECT doc_id, {sv.features({lab: f"l_{lab.lower()}" for lab in SUB_LABELS}, "total")} FROM doc_lists),
+terms(feature, i, beta, mean, amount) AS (VALUES {_LINEAR_ROWS}),
+sums AS (SELECT doc_id, 1 / (1 + exp(-({LINEAR_MODEL.intercept} + sum(beta * (value - mean) ORDER BY i)))) AS p,
+    {SEVERITY_MODEL.intercept} + sum(amount * (value - mean) ORDER BY i) AS amount
+  FROM (UNPIVOT feats ON {", ".join(vocab.FEATURE_NAMES)} INTO NAME feature VALUE value) JOIN terms USING (feature) GROUP BY doc_id),
+arrived AS (SELECT doc_id, (doc_id % {HOURS}) * 3600 + page_number * 180 AS second FROM submission_pages),
+closed AS (SELECT doc_id, CAST(count(*) AS BIGINT) AS page_count FROM arrived GROUP BY 1
+  HAVING max(second) + {IDLE_MS / 1000} <= (SELECT max(second) FROM arrived) - 600)
+SELECT doc_id, page_count, CASE WHEN p < 0.25 THEN 'LOW' WHEN p < 0.5 THEN 'MODERATE' WHEN p < 0.75 THEN 'HIGH' ELSE 'CRITICAL' END AS risk_tier,
+  round(p, 4) AS risk_probability, round(greatest(amount, 0.0), 2) AS predicted_claim_amount, round(abs(p - 0.5) * 2.0, 4) AS confidence_score
+FROM sums JOIN closed USING (doc_id)""",
+)
+def stream_submissions(spark, sf_dir):
+    """O-R1: pages on the stream, in three micro-batches cut through documents:
+    held as state until no page of the document came for half an hour, then its
+    features and fitted scores; documents still open at the end are not due."""
+    base = f"{checkpoint_dir(spark).rstrip('/')}/stream-submissions-{uuid.uuid4().hex[:12]}"
+    second = (F.col("doc_id") % HOURS) * 3600 + F.col("page_number") * 180
+    pages = views.submission_pages(spark, sf_dir).withColumn("ts", F.timestamp_seconds(second + 1_704_067_200))
+    cuts = [None, HOURS // 3 * 3600 + 400, HOURS * 2 // 3 * 3600 + 400, None]
+    for low, high in zip(cuts, cuts[1:]):  # one after the other: the file source reads them in this order
+        part = pages if low is None else pages.where(second >= low)
+        (part if high is None else part.where(second < high)).coalesce(1).write.mode("append").parquet(f"{base}/pages")
+    ss.use_rocksdb(spark)
+    stream = st.read_table_stream(spark, f"{base}/pages", "*.parquet", max_files_per_trigger=1)
+    closed = ss.stream_assess(stream, linear_scorer(LINEAR_MODEL, SEVERITY_MODEL), delay=DELAY, idle_ms=IDLE_MS)
+    return st.run_to_table(closed, "stream-submissions")
+
+
+@register(
+    "stream_request_rate",
+    C(sv.REQUESTS) + """, wide AS (
+  SELECT time_bucket(INTERVAL '5 minutes', ts) - k * INTERVAL '5 minutes' AS ws, service FROM requests, (VALUES (0), (1)) t(k))
+SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, service, CAST(count(*) AS BIGINT) AS n, round(count(*) / 600.0, 6) AS rate_per_s
+FROM wide GROUP BY ws, service HAVING ws + INTERVAL '10 minutes' <= (SELECT max(ts) FROM requests) - INTERVAL '10 minutes'""",
+)
+def stream_request_rate(spark, sf_dir):
+    """O-R2: requests per second and service over 10-minute windows every 5 minutes."""
+    ev = st.with_event_time(views.requests_from(_events_stream(spark, sf_dir)), "ts", DELAY)
+    out = st.run_to_table(st.stream_request_rate(ev, "service", "10 minutes", "5 minutes"), "stream_request_rate")
+    return out.withColumn("window_start", F.date_format("window_start", om.TS_FORMAT))
+
+
+LIMIT = 4  # requests of one client in a window; about 2 is usual in the events table
+
+
+@register(
+    "stream_over_limit",
+    C(sv.REQUESTS) + f""", wide AS (
+  SELECT time_bucket(INTERVAL '1 hour', ts) - k * INTERVAL '1 hour' AS ws, client FROM requests, range(24) t(k))
+SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, client, CAST(count(*) AS BIGINT) AS n FROM wide GROUP BY ws, client
+HAVING count(*) > {LIMIT} AND ws + INTERVAL '24 hours' <= (SELECT max(ts) FROM requests) - INTERVAL '10 minutes'""",
+)
+def stream_over_limit(spark, sf_dir):
+    """O-R2: clients with more than LIMIT requests in any 24 hours, every hour:
+    hourly counts chained into sliding windows on one watermarked stream."""
+    ev = st.with_event_time(views.requests_from(_events_stream(spark, sf_dir)), "ts", DELAY)
+    out = st.run_to_table(st.stream_over_limit(ev, "client", LIMIT, "24 hours", "1 hour"), "stream_over_limit")
+    return out.withColumn("window_start", F.date_format("window_start", om.TS_FORMAT))

@@ -2,32 +2,39 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def write_report(metrics: DataFrame, cases: DataFrame, path: str, mode: str = "direct",
                  timestamp: str | None = None) -> None:
-    """One JSON document {timestamp, backend_mode, total_cases, metrics, cases}.
-    Meant for the evaluated sample (tens of cases), which is gathered into one
-    row; the per-case table itself stays distributed elsewhere."""
+    """The report as two JSON tables: ``<path>/cases``, one line a case, as many
+    files as the cases have partitions; and ``<path>/report``, the one document
+    {timestamp, backend_mode, total_cases, metrics}, written last, so a report
+    without it was not finished."""
     row = metrics.first().asDict()  # the metrics table is one row
-    metric_struct = F.struct(*[F.lit(v).alias(k) for k, v in row.items()])
+    cases.write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/cases")
     stamp = F.lit(timestamp) if timestamp else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")
-    doc = cases.agg(F.collect_list(F.struct(*cases.columns)).alias("cases")).select(
-        stamp.alias("timestamp"), F.lit(mode).alias("backend_mode"),
-        F.lit(row.get("total_cases")).alias("total_cases"), metric_struct.alias("metrics"), "cases",
+    doc = cases.sparkSession.range(1).select(
+        stamp.alias("timestamp"), F.lit(mode).alias("backend_mode"), F.lit(row.get("total_cases")).alias("total_cases"),
+        F.struct(*[F.lit(v).alias(k) for k, v in row.items()]).alias("metrics"),
     )
-    doc.coalesce(1).write.mode("overwrite").json(path)
-
-
-def read_report(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(metrics one-row table, cases table) from a report written as one JSON
-    document (``multiLine``) or as JSON lines."""
-    raw = spark.read.option("multiLine", True).json(path)
-    metrics = raw.select("total_cases", "metrics.*")
-    cases = raw.select(F.explode("cases").alias("c")).select("c.*")
-    return metrics, cases
+    doc.coalesce(1).write.mode("overwrite").json(f"{path}/report")
+
+
+def read_report(spark: SparkSession, path: str, case_schema=None) -> tuple[DataFrame, DataFrame]:
+    """(metrics one-row table, cases table) of a report: as ``write_report``
+    leaves it, or one JSON document that holds its cases (``multiLine``)."""
+    try:
+        raw = spark.read.json(f"{path}/report")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raw = spark.read.option("multiLine", True).json(path)
+        return raw.select("total_cases", "metrics.*"), raw.select(F.explode("cases").alias("c")).select("c.*")
+    reader = spark.read if case_schema is None else spark.read.schema(case_schema)
+    return raw.select("total_cases", "metrics.*"), reader.json(f"{path}/cases")
 
 
 ANALYSIS_SCHEMA = (

@@ -86,3 +86,21 @@ def test_read_submissions(spark, tmp_dir):
         json.dump(doc, f, indent=2)
     r = reports.read_submissions(spark, f"{tmp_dir}/subs").first()
     assert r["risk_tier"] == "HIGH" and r["entities"] == {"PERIL": ["fire"]}
+
+
+def test_csv_rows_are_numbered_in_file_order(spark, tmp_dir):
+    """A small file before a large one, cut into many blocks: path order, then
+    line order, whichever file the scan packs first."""
+    from riskflow.sources import claims_csv
+
+    for name, n in (("a", 3), ("b", 2000), ("c", 1)):
+        with open(f"{tmp_dir}/{name}.csv", "w") as f:
+            f.write("policy_number,capital-gains\n" + "".join(f"{name}{i},{i}\n" for i in range(n)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        got = {r.policy_number: r.case_id for r in claims_csv.read_claims(spark, tmp_dir).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want = [f"a{i}" for i in range(3)] + [f"b{i}" for i in range(2000)] + ["c0"]
+    assert got == {p: i for i, p in enumerate(want)}

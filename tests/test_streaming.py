@@ -52,3 +52,17 @@ def test_sliding_windows_batch_equals_stream(spark):
     closed = batch.where(F.col("window_start") + F.expr("INTERVAL 10 MINUTES") <= F.lit(max_ts - dt.timedelta(minutes=10)))
     key = lambda r: (r["window_start"], r["service"], r["n"])
     assert sorted(map(key, out.collect())) == sorted(map(key, closed.collect()))
+
+
+def test_over_limit_stream_equals_batch(spark):
+    """Chained windows on the stream: sliding windows over counts a minute give
+    the counts of sliding windows over the requests themselves."""
+    import datetime as dt
+
+    ev = views.requests(spark, SF_SMALL)
+    stream = st.with_event_time(views.requests_from(st.read_table_stream(spark, SF_SMALL, "events.parquet")))
+    out = st.run_to_table(st.stream_over_limit(stream, "client", 2, "6 hours", "2 hours"), "t_over_limit")
+    wide = ev.groupBy(F.window("ts", "6 hours", "2 hours").alias("w"), "client").agg(F.count(F.lit(1)).alias("n"))
+    latest = ev.agg(F.max("ts")).first()[0] - dt.timedelta(minutes=10)
+    want = wide.where((F.col("n") > 2) & (F.col("w.end") <= F.lit(latest))).select(F.col("w.start").alias("window_start"), "client", "n")
+    assert sorted(map(tuple, out.select("window_start", "client", "n").collect())) == sorted(map(tuple, want.collect()))

@@ -102,3 +102,11 @@ def test_chunk_case_numbering_independent_of_buckets(spark):
     a = {(r.doc_id, r.chunk_no): r.case_id for r in ot.chunk_cases(chunks, bucket_bits=16).collect()}
     b = {(r.doc_id, r.chunk_no): r.case_id for r in ot.chunk_cases(chunks, bucket_bits=2).collect()}
     assert a == b and sorted(a.values()) == list(range(10000, 10000 + len(a)))
+
+
+def test_chunk_cases_take_sparse_text_ids(spark):
+    rows = [("co", f"doc-{i * 7919 % 1000:04d}", n, "c") for i in range(40) for n in range(i % 5 + 1)]
+    rows += [("co", "doc-0500x", n, "c") for n in range(100)]  # a document with a third of all chunks
+    got = ot.chunk_cases(spark.createDataFrame(rows, "company string, doc_id string, chunk_no int, chunk string"), offset=0).collect()
+    want = {(d, n): i for i, (_, d, n, _) in enumerate(sorted(rows))}
+    assert {(r.doc_id, r.chunk_no): r.case_id for r in got} == want
