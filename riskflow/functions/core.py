@@ -89,4 +89,5 @@ def prefix_sums(values: Column) -> Column:
     parts = F.transform(cuts, lambda k: fold(F.slice(values, k * width + 1, width)))
     before = fold(F.transform(parts, lambda p: F.element_at(p, -1)))
     shifted = F.zip_with(parts, F.slice(before, 1, F.size(parts)), lambda p, b: F.transform(F.slice(p, 1, F.size(p) - 1), lambda v: v + b))
-    return F.flatten(shifted)
+    few = fold(values)
+    return F.when(n <= 64, F.slice(few, 1, n)).otherwise(F.flatten(shifted))

@@ -12,12 +12,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab
-from ..functions.core import explode_with_pos, map_literal
-from ..functions.text import clean_text, match_starts
+from ..functions.core import explode_with_pos, map_literal, prefix_sums
+from ..functions.text import clean_text
 
 _SPECIAL = set(".^$*+?()[]{}|\\-/")
 
@@ -72,6 +72,30 @@ def entity_pattern(gazetteer: Iterable[tuple[str, str]] = vocab.GAZETTEER,
     return "|".join(parts)
 
 
+def _first_characters(phrases: Iterable[str]) -> str:
+    return "".join(sorted({escape(p[0]) if p[0] not in "]^" else "\\" + p[0] for p in phrases if p}))
+
+
+def walk_pattern(gazetteer: Iterable[tuple[str, str]], rules: Iterable[tuple[str, str]]) -> str:
+    """``entity_pattern`` for the JVM's matcher: the same matches, but a place
+    where no phrase can begin is left after one look at its character, and a rule
+    that begins at a word boundary is tried at letters and digits only."""
+    phrases = sorted({p for _, p in gazetteer})
+    parts = [rf"(?=[{_first_characters(phrases)}])\b(?:" + trie_regex(phrases) + r")\b"] if phrases else []
+    parts += [rf"(?=\w)(?:{rx})" if rx.startswith((r"\b[A-Z", r"\b(?:\d")) else f"(?:{rx})" for _, rx in rules]
+    return "|".join(parts)
+
+
+MARK = "\u0001"
+
+
+def marked_pieces(text: Column, pattern: str) -> Column:
+    """A text cut at the matches of ``pattern`` in one walk: what lies between
+    at even places, the matches at odd ones.  U+0001 in a text counts as U+FFFD."""
+    clear = F.translate(text, MARK, "\ufffd")
+    return F.split(F.regexp_replace(clear, pattern, f"{MARK}$0{MARK}"), MARK, -1)
+
+
 def extract_entities(pages: DataFrame, key: str = "doc_id", page: str = "page_number",
                      text: str = "text", gazetteer=vocab.GAZETTEER, rules=DEFAULT_RULES,
                      clean: bool = False, offsets: bool = True) -> DataFrame:
@@ -79,30 +103,26 @@ def extract_entities(pages: DataFrame, key: str = "doc_id", page: str = "page_nu
     end_char,] confidence).
 
     ``span_no`` is the match's position on its page (the reading order).
-    Offsets are per page, 0-based, end exclusive; they cost a second regex
-    walk (``split``) and a running sum, so callers that only need the order
-    of spans (summaries, features) pass ``offsets=False``.  Phrase and rule
+    Offsets are per page, 0-based, end exclusive, running sums over the pieces
+    of one walk; callers that only need the order of spans (summaries,
+    features) pass ``offsets=False``.  Phrase and rule
     hits have confidence 1.0.  ``clean`` applies O-T1 to the page text first.
     """
-    pattern = entity_pattern(gazetteer, rules)
-    if clean:
-        # Staged projection: the cleaned text is computed once per page and
-        # shared by the match walk and the offset walk.
-        pages = pages.select(key, page, clean_text(F.col(text)).alias(text))
-    body = F.col(text)
+    pattern = walk_pattern(gazetteer, rules)
+    body = clean_text(F.col(text)) if clean else F.col(text)
     labels = map_literal({p: lab for lab, p in gazetteer})
     rule_label = None
     for lab, rx in rules:
         cond = F.col("_m").rlike("^(?:" + rx + ")$")
         rule_label = F.when(cond, F.lit(lab)) if rule_label is None else rule_label.when(cond, F.lit(lab))
-    staged = pages.select(key, page, body.alias("_t"), F.regexp_extract_all(body, F.lit(pattern), 0).alias("_ms"))
     if offsets:
-        staged = staged.select(key, page, "_ms", match_starts("_t", pattern, F.col("_ms")).alias("_st"))
-        hits = explode_with_pos(
-            staged, [key, page], F.arrays_zip(F.col("_ms").alias("m"), F.col("_st").alias("s")), "_i", "_z"
-        ).select(key, page, "_i", F.col("_z.m").alias("_m"), F.col("_z.s").alias("_s"))
+        cut = pages.select(key, page, marked_pieces(body, pattern).alias("_p"))
+        cut = cut.withColumn("_st", prefix_sums(F.transform("_p", lambda p: F.length(p))))
+        found = F.filter(F.arrays_zip(F.col("_p").alias("m"), F.col("_st").alias("s")), lambda z, i: i % 2 == 1)
+        hits = explode_with_pos(cut, [key, page], found, "_i", "_z").select(
+            key, page, "_i", F.col("_z.m").alias("_m"), F.col("_z.s").alias("_s"))
     else:
-        hits = explode_with_pos(staged, [key, page], F.col("_ms"), "_i", "_m")
+        hits = explode_with_pos(pages, [key, page], F.regexp_extract_all(body, F.lit(pattern), 0), "_i", "_m")
     by_phrase = F.try_element_at(labels, F.col("_m"))
     label = by_phrase if rule_label is None else F.coalesce(by_phrase, rule_label)
     cols = [
@@ -123,7 +143,7 @@ def page_entities(pages: DataFrame, key: str = "doc_id", page: str = "page_numbe
     """O-N1/O-N3 in the page's own row: (key, page_number, *keep, entities), the
     entities as ARRAY<STRUCT<text, label, span_no, confidence>> in reading order;
     empty for a page without any (null text included).  Works on streams."""
-    pattern = entity_pattern(gazetteer, rules)
+    pattern = walk_pattern(gazetteer, rules)
     body = clean_text(F.col(text)) if clean else F.col(text)
     labels = map_literal({p: lab for lab, p in gazetteer})
 

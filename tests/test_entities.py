@@ -97,3 +97,25 @@ def test_dates(spark):
     got = oe.extract_entities(pages).where("label = 'DATE'").orderBy("span_no").collect()
     assert [r["text"] for r in got] == ["2024-01-15", "3/4/2024", "March 5, 2024"]
     assert all(text[r["start_char"]:r["end_char"]] == r["text"] for r in got)
+
+
+def test_one_walk_equals_the_plain_pattern(spark):
+    """Pieces cut in one walk give the matches and offsets of the plain pattern,
+    on odd texts and over many matches."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    from riskflow.operators import entities as oe
+
+    texts = ["", None, "fire", "afire fire_ Fire fire", "$5,000 and $7 million PLY-2024-00892 XPLY-2024-00892 2024-01-05 January 5, 2024",
+             "é fire\u0001flood $1k $2m3", "workers' compensation\ncommercial general liability", "theft " * 500, "1/2/2024 12/31/2023x 31/12/2023"]
+    df = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "doc_id long, page_number int, text string")
+    got = [(r.doc_id, r.text, r.start_char, r.end_char) for r in oe.extract_entities(df).collect()]
+    plain = re.compile(oe.entity_pattern())
+    want = [(i, m.group(), m.start(), m.end()) for i, t in enumerate(texts) for m in plain.finditer(t or "")]
+    assert sorted(got) == sorted(want)
+    order = [(r.doc_id, r.text) for r in oe.extract_entities(df, offsets=False).orderBy("doc_id", "span_no").collect()]
+    assert order == [(i, t) for i, t, *_ in want]
+    in_row = oe.page_entities(df, clean=False).orderBy("doc_id").collect()
+    assert [[e.text for e in r.entities] for r in in_row] == [[t for j, t, *_ in want if j == i] for i in range(len(texts))]
