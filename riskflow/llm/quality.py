@@ -2,8 +2,9 @@
 follow-the-regularised-leader updates and scored as sparse dot products.
 
 A text becomes words and runs of signs.  Its features are hashed 1- and 2-grams
-of the words, and 1- to 3-grams of their normal forms (case pattern, the sign
-run itself, or "same as the word before"), so words never seen still count.  The
+of the words, and 1- to 3-grams of their normal forms (case pattern, the first
+eight signs of a sign run, or "same as the word before"), so words never seen
+still count; the words themselves are hashed whole.  The
 vector of counts has length one.
 
 Training uses at most ``ROWS_PER_CLASS`` labelled rows of each class (the ones

@@ -37,6 +37,10 @@ BOUND_Z = 1.645  # ... at this many posterior standard deviations below the mean
 LEAST_RHO, MOST_RHO = 0.001, 0.999  # bounds of the correlation within a level
 
 
+#: The whole number that a path segment starts with.
+NUMBER = "/([0-9]+)(?:[^0-9A-Za-z]|$)"
+
+
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host (A-Z in lower case) and path; both empty for a null url or one
     without ``://``."""
@@ -125,15 +129,16 @@ def judge_urls(
     """One row per page: page_id, host, path, rule, verdict, host_labelled,
     host_bad (labelled pages of the host, and the bad ones among them).
 
-    The document of a page is the first number that is a whole start of a path
-    segment; it is bad when any of its labels says quality 0 or toxic 1 (null
+    The document of a page is the first run of digits that starts a path segment
+    and ends at its end or before a sign that is no letter or digit (none, if it
+    does not fit a long); it is bad when any of its labels says quality 0 or toxic 1 (null
     labels say nothing).  A null url, or one without ``://``, has the empty
     host, which is judged like any host.  Repeated pages count each time and
     each keeps its row; empty tables give empty or unlabelled results."""
     host, path = host_and_path(F.col(url))
     at = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
-    number = F.regexp_extract("path", r"/([0-9]{1,18})", 1)
-    numbered = at.select("host", F.when(number != "", number).cast("long").alias("doc_no"))
+    number = F.regexp_extract("path", NUMBER, 1)
+    numbered = at.select("host", F.when(number != "", number).try_cast("long").alias("doc_no"))
     said = F.when(F.col("quality").isNull() & F.col("toxic").isNull(), None).otherwise(
         (F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)
     )
@@ -179,7 +184,7 @@ parsed AS (SELECT page_id, translate(raw, '{UPPER}', '{LOWER}') AS host,
 outcomes AS (SELECT doc_id AS doc_no, max(CASE WHEN coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1 THEN 1 ELSE 0 END) AS bad
   FROM labels WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL) GROUP BY 1),
 counts AS (SELECT host, count(*) AS n, sum(bad) AS bad FROM parsed
-  JOIN outcomes ON doc_no = try_cast(nullif(regexp_extract(path, '/([0-9]{{1,18}})', 1), '') AS BIGINT) GROUP BY 1),
+  JOIN outcomes ON doc_no = try_cast(nullif(regexp_extract(path, '{NUMBER}', 1), '') AS BIGINT) GROUP BY 1),
 bare AS (SELECT DISTINCT host, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS bare FROM parsed),
 hosts AS (SELECT host,
     CASE WHEN regexp_matches(bare, '^[0-9.]+$') THEN bare WHEN {_TAIL.format(2)} IN {_DEEP} THEN {_TAIL.format(3)} ELSE {_TAIL.format(2)} END AS domain,

@@ -173,3 +173,18 @@ def test_rules_name_known_sentences():
 def test_plans_are_native(spark, name):
     text = plan(queries.QUERIES[name](spark, "/root/testdata/sf0.001"))
     assert not any(w in text for w in ("Python", "Pandas", "Arrow", "Cartesian", "NestedLoop"))
+
+
+def test_page_numbers_are_whole(spark):
+    """No prefix of a longer number or of a word counts; a number that fits no
+    long is none."""
+    from pyspark.sql import functions as F
+
+    from riskflow.llm import url_reputation as u
+
+    paths = {"/12": 12, "/a/12.html": 12, "/12-title": 12, "/12abc": None, "/12abc/7": 7, "/1234567890123456789": 1234567890123456789,
+             "/99999999999999999999": None, "/x12": None, "": None}
+    rows = spark.createDataFrame([(p,) for p in paths], "path string")
+    number = F.regexp_extract("path", u.NUMBER, 1)
+    got = {r.path: r.n for r in rows.select("path", F.when(number != "", number).try_cast("long").alias("n")).collect()}
+    assert got == paths
