@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import vocab
 from ..operators import evaluate as oe
 from ..operators import quality as oq
 from ..operators.scoring import score
+from ..session import checkpoint_dir, staged
+from ..sources.reports import read_report, write_report
 from . import sql_views as sv
 from . import views
 from .registry import register
@@ -130,6 +134,25 @@ def eval_metrics(spark, sf_dir):
     return oe.eval_metrics(_evaluate(spark, sf_dir))
 
 
+@register(
+    "eval_report",
+    C(*_BASE_CTES, ALL_CASES) + EVAL_SQL + ", m AS (" + METRICS_SQL
+    + ")\nSELECT results.*, m.total_cases, m.tier_exact_match AS n_exact, m.mean_processing_time_ms AS mean_ms FROM results, m",
+)
+def eval_report(spark, sf_dir):
+    """O-S7: the evaluation of every claim written as a report and read back: its
+    case lines beside the figures of its one document."""
+    results = staged(_evaluate(spark, sf_dir), "evaluated")
+    path = f"{checkpoint_dir(spark).rstrip('/')}/eval-report-{uuid.uuid4().hex[:12]}"
+    write_report(oe.eval_metrics(results), results, path, timestamp="2026-01-01T00:00:00+00:00")
+    metrics, cases = read_report(spark, path, results.schema)
+    m = metrics.first()  # one row
+    return cases.withColumns({
+        "total_cases": F.lit(m["total_cases"]).cast("bigint"),
+        "n_exact": F.lit(m["tier_exact_match"]).cast("bigint"), "mean_ms": F.lit(m["mean_processing_time_ms"]).cast("double"),
+    })
+
+
 @register("eval_sample_metrics", C(*_BASE_CTES, SAMPLE_SQL, SAMPLE_CASES) + EVAL_SQL + "\n" + METRICS_SQL)
 def eval_sample_metrics(spark, sf_dir):
     """O-W4 -> O-Q16 -> O-Q17: the evaluation job (20 stratified cases)."""

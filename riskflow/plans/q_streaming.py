@@ -156,3 +156,23 @@ def stream_over_limit(spark, sf_dir):
     ev = st.with_event_time(views.requests_from(_events_stream(spark, sf_dir)), "ts", DELAY)
     out = st.run_to_table(st.stream_over_limit(ev, "client", LIMIT, "24 hours", "1 hour"), "stream_over_limit")
     return out.withColumn("window_start", F.date_format("window_start", om.TS_FORMAT))
+
+
+@register(
+    "stream_request_trace",
+    C(sv.REQUESTS) + """, s AS (SELECT event_id // 2 AS request_id, ts FROM requests WHERE event_id % 2 = 0),
+c AS (SELECT event_id // 2 AS request_id, ts FROM requests WHERE event_id % 2 = 1),
+passed AS (SELECT least((SELECT max(ts) FROM s), (SELECT max(ts) FROM c)) - INTERVAL '10 minutes' AS w)
+SELECT s.request_id, (epoch_us(c.ts) - epoch_us(s.ts)) / 1000.0 AS duration_ms, c.ts IS NOT NULL AS complete
+FROM s LEFT JOIN c ON c.request_id = s.request_id AND c.ts >= s.ts AND c.ts <= s.ts + INTERVAL '30 minutes', passed
+WHERE c.ts IS NOT NULL OR s.ts + INTERVAL '30 minutes' < w""",
+)
+def stream_request_trace(spark, sf_dir):
+    """O-A9 on the stream: starts (even event ids) joined with completions (odd
+    ones) within 30 minutes; starts whose time has passed come without one."""
+
+    def side(odd):
+        r = views.requests_from(_events_stream(spark, sf_dir)).where(F.col("event_id") % 2 == odd)
+        return r.select(F.floor(F.col("event_id") / 2).cast("bigint").alias("request_id"), "ts")
+
+    return st.run_to_table(st.stream_request_trace(side(0), side(1), delay=DELAY), "stream_request_trace")

@@ -66,3 +66,20 @@ def test_over_limit_stream_equals_batch(spark):
     latest = ev.agg(F.max("ts")).first()[0] - dt.timedelta(minutes=10)
     want = wide.where((F.col("n") > 2) & (F.col("w.end") <= F.lit(latest))).select(F.col("w.start").alias("window_start"), "client", "n")
     assert sorted(map(tuple, out.select("window_start", "client", "n").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_request_trace_stream_with_late_and_missing_completions(spark, tmp_dir):
+    """Pairs, a completion after the timeout, one that never comes, and a start
+    that is still waiting; two micro-batches."""
+    import datetime as dt
+
+    at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    batches = [[(1, "s", at(0)), (2, "s", at(1)), (3, "s", at(2)), (1, "c", at(4))],
+               [(2, "c", at(45)), (4, "s", at(118)), (5, "s", at(120)), (9, "c", at(120)), (5, "c", at(121))]]
+    for rows in batches:
+        spark.createDataFrame(rows, "request_id long, phase string, ts timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_dir}/in")
+    feed = lambda phase: st.read_table_stream(spark, f"{tmp_dir}/in", "*.parquet", max_files_per_trigger=1).where(F.col("phase") == phase)
+    got = st.run_to_table(st.stream_request_trace(feed("s"), feed("c")), "t_trace").collect()
+    # request 2 completed after 44 minutes: too late; 3 never; 4 still waits
+    assert sorted((r.request_id, r.duration_ms, r.complete) for r in got) == [
+        (1, 240_000.0, True), (2, None, False), (3, None, False), (5, 60_000.0, True)]
