@@ -104,3 +104,19 @@ def test_csv_rows_are_numbered_in_file_order(spark, tmp_dir):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     want = [f"a{i}" for i in range(3)] + [f"b{i}" for i in range(2000)] + ["c0"]
     assert got == {p: i for i, p in enumerate(want)}
+
+
+def test_scan_order_writes_no_single_partition(spark, monkeypatch):
+    from riskflow.plans import q_round_trips as qr
+
+    plans, write = [], qr.write_claims
+
+    def watched(df, path):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        write(df, path)
+
+    monkeypatch.setattr(qr, "write_claims", watched)
+    out = qr.claims_scan_order(spark, "/root/testdata/sf0.001")
+    n = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
+    assert sorted(r.case_id for r in out.collect()) == list(range(n))
+    assert len(plans) == 3 and not any("Repartition 1," in p for p in plans)
