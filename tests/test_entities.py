@@ -119,3 +119,35 @@ def test_one_walk_equals_the_plain_pattern(spark):
     assert order == [(i, t) for i, t, *_ in want]
     in_row = oe.page_entities(df, clean=False).orderBy("doc_id").collect()
     assert [[e.text for e in r.entities] for r in in_row] == [[t for j, t, *_ in want if j == i] for i in range(len(texts))]
+
+
+def _nested_rows(spark):
+    rows = [(1, 1, "flood, then Fire alarm; $5K"), (1, 0, "fire and $5k, PLY-2024-00892 fire"), (1, None, "theft on 2024-01-31"),
+            (2, 0, None), (3, 0, "nothing"), (None, 0, "fire"), (None, 1, "wind damage $1.50"), (4, 7, "flood"), (4, 6, "")]
+    return spark.createDataFrame(rows, "doc_id bigint, page_number int, text string")
+
+
+def test_nested_dedup_as_in_rows(spark, monkeypatch):
+    pages = _nested_rows(spark)
+    for offsets in (True, False):
+        rows = oe.dedup_entities(oe.extract_entities(pages, offsets=offsets))
+        for many in (4096, 1):  # gathered, and by the aggregate for documents of many pages
+            monkeypatch.setattr(oe, "MANY_PAGES", many)
+            nested = oe.dedup_entities(oe.extract_entities(pages, offsets=offsets, nested=True))
+            flat = oe.dedup_rows(nested).select(*rows.columns)
+            assert sorted(map(repr, flat.collect())) == sorted(map(repr, rows.collect()))
+            got, want = (oe.summarize_entities(d).select("doc_id", "summary_entries").collect() for d in (nested, rows))
+            assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_nested_summary_is_one_aggregate_of_pages(spark):
+    """No row an entity, no sort by entity texts, no filter that repeats the walk."""
+    summary = oe.summarize_entities(oe.dedup_entities(oe.extract_entities(_nested_rows(spark), nested=True)))
+    plan = summary._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("Aggregate [") == 1 and plan.count("array_position") == 1
+
+
+def test_rules_are_tried_where_they_can_begin(spark):
+    assert "(?=[A-Z\\$\\dADFJMNOS])" in oe.walk_pattern(oe.vocab.GAZETTEER, oe.DEFAULT_RULES)
+    own = [("X", "x+")]
+    assert oe.walk_pattern([], own) == "(?:x+)"  # nothing is known of other rules
