@@ -123,7 +123,7 @@ def test_one_walk_equals_the_plain_pattern(spark):
 
 def _nested_rows(spark):
     rows = [(1, 1, "flood, then Fire alarm; $5K"), (1, 0, "fire and $5k, PLY-2024-00892 fire"), (1, None, "theft on 2024-01-31"),
-            (2, 0, None), (3, 0, "nothing"), (None, 0, "fire"), (None, 1, "wind damage $1.50"), (4, 7, "flood"), (4, 6, "")]
+            (2, 0, None), (3, 0, "nothing"), (None, 0, "fire"), (None, 1, "wind damage $1.50"), (4, 7, "flood"), (4, 6, ""), (4, 5, None)]
     return spark.createDataFrame(rows, "doc_id bigint, page_number int, text string")
 
 
