@@ -151,3 +151,16 @@ def test_rules_are_tried_where_they_can_begin(spark):
     assert "(?=[A-Z\\$\\dADFJMNOS])" in oe.walk_pattern(oe.vocab.GAZETTEER, oe.DEFAULT_RULES)
     own = [("X", "x+")]
     assert oe.walk_pattern([], own) == "(?:x+)"  # nothing is known of other rules
+
+
+def test_pages_in_document_order_are_gathered_without_a_sort(spark):
+    """An aggregate that collects sorts its rows by document, and spills them, once
+    a task has more than a few documents."""
+    from riskflow.plans import q_entities
+
+    from .conftest import SF_SMALL
+
+    for query in (q_entities.brief, q_entities.entity_display, q_entities.entity_summary, q_entities.entities_to_text,
+                  q_entities.features_submissions):
+        plan = query(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert "ObjectHashAggregate" not in plan and plan.count("Exchange") == 1 and plan.count("Sort [") == 1
