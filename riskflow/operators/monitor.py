@@ -8,8 +8,6 @@ buckets).  The same functions run on a streaming DataFrame after
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,25 +59,20 @@ RADIX_SHIFTS = (52, 39, 26, 13, 0)
 MOST_KEYS = 100_000  # whose ranks are broadcast; more are joined
 
 
+def _flipped(bits: Column) -> Column:
+    """Bits of a double <-> a long in the order of its value."""
+    return F.when(bits < 0, bits.bitwiseXOR(F.lit(2**63 - 1))).otherwise(bits)
+
+
 def _ordered_bits(values: Column) -> Column:
     """long: the bits of a double, in the order of its value (-0.0 is 0.0; NaN
     comes last)."""
-
-    @F.arrow_udf("long")
-    def bits(x: pa.Array) -> pa.Array:
-        raw = (x.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0).view(np.int64)
-        return pa.array(np.where(raw < 0, raw ^ np.int64(2**63 - 1), raw))
-
-    return bits(values)
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), values + F.lit(0.0))
+    return _flipped(bits.cast("long"))
 
 
 def _value_of(bits: Column) -> Column:
-    @F.arrow_udf("double")
-    def values(x: pa.Array) -> pa.Array:
-        raw = x.to_numpy(zero_copy_only=False).astype(np.int64)
-        return pa.array(np.where(raw < 0, raw ^ np.int64(2**63 - 1), raw).view(np.float64))
-
-    return values(bits)
+    return F.java_method(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), _flipped(bits)).cast("double")
 
 
 def order_statistics(rows: DataFrame, targets: DataFrame) -> DataFrame:
