@@ -110,20 +110,23 @@ SELECT doc_id, page_count, CASE WHEN p < 0.25 THEN 'LOW' WHEN p < 0.5 THEN 'MODE
 FROM sums JOIN closed USING (doc_id)""",
 )
 def stream_submissions(spark, sf_dir):
-    """O-R1: pages on the stream, in three micro-batches cut through documents:
+    """O-R1: pages on the stream, arriving three times, cut through documents (each
+    arrival is any number of files, read as one micro-batch by the stream as it goes on):
     held as state until no page of the document came for half an hour, then its
     features and fitted scores; documents still open at the end are not due."""
     base = f"{checkpoint_dir(spark).rstrip('/')}/stream-submissions-{uuid.uuid4().hex[:12]}"
     second = (F.col("doc_id") % HOURS) * 3600 + F.col("page_number") * 180
     pages = views.submission_pages(spark, sf_dir).withColumn("ts", F.timestamp_seconds(second + 1_704_067_200))
     cuts = [None, HOURS // 3 * 3600 + 400, HOURS * 2 // 3 * 3600 + 400, None]
-    for low, high in zip(cuts, cuts[1:]):  # one after the other: the file source reads them in this order
-        part = pages if low is None else pages.where(second >= low)
-        (part if high is None else part.where(second < high)).coalesce(1).write.mode("append").parquet(f"{base}/pages")
     ss.use_rocksdb(spark)
-    stream = st.read_table_stream(spark, f"{base}/pages", "*.parquet", max_files_per_trigger=1)
-    closed = ss.stream_assess(stream, linear_scorer(LINEAR_MODEL, SEVERITY_MODEL), delay=DELAY, idle_ms=IDLE_MS)
-    return st.run_to_table(closed, "stream-submissions")
+    for low, high in zip(cuts, cuts[1:]):
+        part = pages if low is None else pages.where(second >= low)
+        (part if high is None else part.where(second < high)).write.mode("append").parquet(f"{base}/pages")
+        stream = st.read_table_stream(spark, f"{base}/pages", "*.parquet")
+        closed = ss.stream_assess(stream, linear_scorer(LINEAR_MODEL, SEVERITY_MODEL), delay=DELAY, idle_ms=IDLE_MS)
+        (closed.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
+         .trigger(availableNow=True).start().awaitTermination())
+    return spark.read.schema(closed.schema).parquet(f"{base}/out")
 
 
 @register(
