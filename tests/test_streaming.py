@@ -83,3 +83,38 @@ def test_request_trace_stream_with_late_and_missing_completions(spark, tmp_dir):
     # request 2 completed after 44 minutes: too late; 3 never; 4 still waits
     assert sorted((r.request_id, r.duration_ms, r.complete) for r in got) == [
         (1, 240_000.0, True), (2, None, False), (3, None, False), (5, 60_000.0, True)]
+
+
+def _page_files(spark, query):
+    """How many files of pages a streaming query of this session wrote for itself."""
+    import glob
+
+    from riskflow.plans import registry
+    from riskflow.session import checkpoint_dir
+
+    seen = set(glob.glob(f"{checkpoint_dir(spark)}/stream-*/pages/*.parquet"))
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        registry.load_all()
+        registry.QUERIES[query](spark, SF_SMALL).count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    return len(set(glob.glob(f"{checkpoint_dir(spark)}/stream-*/pages/*.parquet")) - seen)
+
+
+def test_arrivals_are_written_by_many_tasks(spark):
+    assert _page_files(spark, "stream_features") > 4
+    assert _page_files(spark, "stream_submissions") > 3
+
+
+def test_nested_entities_of_a_stream_are_summarised_from_what_was_written(spark, tmp_dir):
+    pages = views.submission_pages(spark, SF_SMALL).where("doc_id < 300")
+    pages.withColumn("part", F.col("page_number") % 2).write.partitionBy("part").parquet(f"{tmp_dir}/pages")
+    stream = spark.readStream.schema(spark.read.parquet(f"{tmp_dir}/pages").schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_dir}/pages")
+    ents = st.stream_entities(stream.select("doc_id", "page_number", "text"), nested=True)
+    ents.writeStream.foreachBatch(st.summary_batch_writer(f"{tmp_dir}/ents", f"{tmp_dir}/summ", buckets=4)).option(
+        "checkpointLocation", f"{tmp_dir}/ckpt").trigger(availableNow=True).start().awaitTermination()
+    got = {r["doc_id"]: r["entity_summary"] for r in st.latest_summaries(spark, f"{tmp_dir}/summ").collect()}
+    rows = oe.summarize_entities(oe.dedup_entities(oe.extract_entities(pages, clean=True)))
+    assert got == {r["doc_id"]: r["entity_summary"] for r in rows.collect()}
