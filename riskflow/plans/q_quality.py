@@ -93,8 +93,9 @@ def factor_share(spark, sf_dir):
 def distinct_inference(spark, sf_dir):
     """O-M11: a per-input computation run once per distinct input and joined
     back (here: how many claims share the same four key features)."""
-    feats = _claim_features(spark, sf_dir)
     cols = ["entity_count_total", "max_monetary_value", "vehicle_age", "witness_count"]
+    # rows, distinct inputs and counts all start here: the features are built once
+    feats = staged(_claim_features(spark, sf_dir).select("case_id", *cols), "key-features")
     counts = feats.groupBy(*cols).agg(F.count(F.lit(1)).alias("n_same"))
     return ox.with_distinct(feats, cols, lambda d: d.join(counts, cols)).select("case_id", "n_same")
 
