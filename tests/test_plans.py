@@ -1,6 +1,7 @@
 """Physical plan properties of the registered queries."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from riskflow.plans import registry
 
@@ -52,3 +53,21 @@ def test_top_factors_stay_in_the_row(spark):
 def test_top_k_uses_group_limit(spark):
     plan = _plan(QUERIES["stratified_sample"](spark, SF_SMALL))
     assert "WindowGroupLimit" in plan
+
+
+def test_distinct_inference_builds_the_features_once(spark):
+    """Rows, distinct inputs and counts read what was written once, not the claims three times over."""
+    plan = _plan(QUERIES["distinct_inference"](spark, SF_SMALL))
+    assert "o_custkey" not in plan and "c_acctbal" not in plan
+
+
+def test_a_quoted_number_is_parsed_once(spark):
+    """Held against many known values, not parsed again for each."""
+    from riskflow.operators.quality import ungrounded_issues
+
+    df = spark.createDataFrame([("costs $1,234.50 or $99 and 45%", ["1234.50", "44.9"], [1234.5, 44.9])], "n string, k array<string>, v array<double>")
+    out = df.select(ungrounded_issues(F.col("n"), F.col("k"), None, F.col("v")).alias("i"))
+    assert out.first().i == ["Ungrounded amount: $99"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    held = plan[plan.index("exists("):].split("0.99")[0]
+    assert "regexp" not in held, held
