@@ -156,3 +156,48 @@ def test_tree_attributions_match_brute_force():
         phi[leaf.features] += leaf.table[bits]
     assert np.allclose(phi, [phi_bf[0], phi_bf[1]])
     assert math.isclose(sum(l.base for l in leaves) + phi.sum(), walk(0, {0, 1}))
+
+
+def test_grouped_tree_tables_equal_leaf_by_leaf():
+    """Leaves looked up together, by the splits they share, attribute what each
+    leaf's own table does: repeated and categorical features, missing values, and
+    paths of more splits than a group holds."""
+    import numpy as np
+
+    from riskflow.operators.tree_explain import GROUP_TESTS, _attributions, _follows, _groups, _leaves
+
+    rng = np.random.default_rng(3)
+
+    def tree(depth, features):
+        nodes = {}
+
+        def grow(level, count):
+            at = len(nodes)
+            nodes[at] = None
+            children, split = (-1, -1), None
+            if level < depth:
+                f, left = int(rng.integers(features)), max(1, int(count * rng.uniform(0.2, 0.8)))
+                children = grow(level + 1, left), grow(level + 1, max(1, count - left))
+                split = {"featureIndex": f, "leftCategoriesOrThreshold": [0.0, 2.0] if f == 0 else [float(rng.integers(-9, 9)) / 4],
+                         "numCategories": 4 if f == 0 else -1}
+            nodes[at] = {"id": at, "prediction": float(rng.normal()), "rawCount": count, "leftChild": children[0],
+                         "rightChild": children[1], "split": split}
+            return at
+
+        grow(0, 10**6)
+        return _leaves(nodes, 0.5, 2.0)
+
+    trees = [tree(6, 28), tree(6, 5), tree(0, 5), tree(GROUP_TESTS + 1, 28)]
+    x = rng.normal(size=(28, 500))
+    x[0] = rng.integers(0, 4, 500)
+    x[3, ::7] = np.nan
+    expected = np.zeros_like(x)
+    for leaf in [leaf for leaves in trees for leaf in leaves]:
+        bits = np.zeros(x.shape[1], np.int64)
+        for j, f in enumerate(leaf.features):
+            bits |= _follows(x[f], leaf.tests[j]).astype(np.int64) << j
+        if len(leaf.features):
+            expected[leaf.features] += leaf.table[bits].T
+    groups = [_groups(leaves) for leaves in trees]
+    assert np.allclose(_attributions(x, groups), expected, atol=1e-12)
+    assert len(trees[0]) == 64 and len(groups[0]) <= 8  # one lookup for eight leaves, not one each
