@@ -84,3 +84,18 @@ def test_long_documents_are_compacted(spark, tmp_dir, rocksdb, monkeypatch):
     got = run(spark, tmp_dir)
     want = batch(spark, [r for b in batches for r in b])
     assert got[1].entity_summary == want[1].entity_summary and got[1].page_count == 90
+
+
+def test_documents_are_sessions_without_python(spark, tmp_dir, rocksdb):
+    # idle for longer than the limit between two pages of one batch: two rows; repeats count once, in first-seen order
+    pages = [page(1, 0, 0, "fire, FIRE $5 fire"), page(1, 1, 4, "flood $5"), page(1, 2, 40, "theft"), page(None, 0, 1, "hail damage")]
+    feed(spark, tmp_dir, pages, [page(2, 0, 90, "x")])
+    stream = st.read_table_stream(spark, f"{tmp_dir}/in", "*.parquet", max_files_per_trigger=1)
+    docs = ss.stream_documents(stream, delay="5 minutes", idle_ms=600_500)
+    assert "Python" not in docs._jdf.queryExecution().logical().toString() + docs._jdf.queryExecution().analyzed().toString()
+    (docs.writeStream.format("parquet").option("path", f"{tmp_dir}/out").option("checkpointLocation", f"{tmp_dir}/ckpt")
+     .trigger(availableNow=True).start().awaitTermination())
+    rows = spark.read.schema(docs.schema).parquet(f"{tmp_dir}/out").collect()
+    got = sorted((r.doc_id or 0, r.page_count, [(e.label, e["values"]) for e in r.summary_entries]) for r in rows)
+    assert got == [(0, 1, [("PERIL", ["hail damage"])]), (1, 1, [("PERIL", ["theft"])]),
+                   (1, 2, [("PERIL", ["fire", "flood"]), ("MONEY", ["$5"])])]
