@@ -201,3 +201,20 @@ def test_grouped_tree_tables_equal_leaf_by_leaf():
     groups = [_groups(leaves) for leaves in trees]
     assert np.allclose(_attributions(x, groups), expected, atol=1e-12)
     assert len(trees[0]) == 64 and len(groups[0]) <= 8  # one lookup for eight leaves, not one each
+
+
+def test_nested_tree_attributions_equal_long(spark, tmp_dir):
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    from riskflow.operators.tree_explain import explain_trees
+
+    names = vocab.FEATURE_NAMES
+    rows = spark.range(200).select(F.col("id").alias("k"), *[((F.col("id") * (i + 3)) % (i + 2)).cast("double").alias(n) for i, n in enumerate(names)])
+    rows = rows.withColumn("y", (F.col("k") % 3 == 0).cast("double"))
+    gbt = GBTClassifier(labelCol="y", maxIter=3, maxDepth=3, seed=1).fit(VectorAssembler(inputCols=names, outputCol="features").transform(rows))
+    one = {r.k: r.shap_values for r in ox.collect_values(explain_trees(rows, gbt, "k", f"{tmp_dir}/a"), "k").collect()}
+    nested = explain_trees(rows, gbt, "k", f"{tmp_dir}/b", nested=True)
+    assert nested.columns == ["k", "shap_values", "base"]
+    assert "Exchange" not in ox.collect_values(nested, "k")._jdf.queryExecution().executedPlan().toString()
+    assert {r.k: r.shap_values for r in ox.collect_values(nested, "k").collect()} == one and len(one) == 200
